@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import packing, quality_rules, sharding, url_filters, warc
+import corpus_pipeline
+from palimpsest.llm import decontamination, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, url_filters, warc
 
 
 def queries() -> dict:
     """opN_<name> for each operator, and ``pipeline``."""
     return {
+        "op1_pii_surrogates": pii.op1_pii_surrogates,
         "op2_warc_normaliser": warc.op2_warc_normaliser,
+        "op3_cgk_decontamination": decontamination.op3_cgk_decontamination,
+        "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+        "op5_chosen_path_dedup": near_dedup.op5_chosen_path_dedup,
         "op6_url_filters": url_filters.op6_url_filters,
         "op7_histogram_shards": sharding.op7_histogram_shards,
+        "op8_suffix_levels": suffix_dedup.op8_suffix_levels,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
