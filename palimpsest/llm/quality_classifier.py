@@ -37,27 +37,36 @@ ROUNDS, CONFIDENT = 4, 0.97
 #: At most this share of the pool is labelled per class and round.
 SHARE = 0.1
 DIM_BITS = 11
+#: Measures of spread, and grams added to each text's total.
+SPREAD, PRIOR = 3, 60
 META = 8 + 32 + 9
 
 
 def text_features(texts: pa.Array) -> np.ndarray:
-    """Square roots of the relative frequencies of hashed byte trigrams, a row for each text."""
+    """Square roots of the relative frequencies of hashed byte trigrams, a row for each text, then three measures of their spread.
+
+    ``PRIOR`` grams are added to the total, so that short texts, whose
+    frequencies say little, stay near the intercept.
+    """
     texts = pa.concat_arrays([texts.cast(pa.large_binary()).fill_null(b"")])
     dim, n = 1 << DIM_BITS, len(texts)
     if not n:
-        return np.zeros((0, dim), np.float32)
+        return np.zeros((0, dim + SPREAD), np.float32)
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint32) if texts.buffers()[2] else np.zeros(0, np.uint32)
     ends = ends - ends[0]
     if len(raw) < 3:
-        return np.zeros((n, dim), np.float32)
+        return np.zeros((n, dim + SPREAD), np.float32)
     gram = (raw[:-2] << np.uint32(16)) | (raw[1:-1] << np.uint32(8)) | raw[2:]
     bucket = ((gram * np.uint32(2654435769)) >> np.uint32(32 - DIM_BITS)).astype(np.int64)
     row = np.repeat(np.arange(n), np.diff(ends))
     inside = row[:-2] == row[2:]
     out = np.bincount(row[:-2][inside] * dim + bucket[inside], minlength=n * dim).reshape(n, dim).astype(np.float32)
     total = out.sum(axis=1, keepdims=True)
-    return np.sqrt(out / np.maximum(total, 1))
+    share = out / (total + PRIOR)
+    distinct = (out > 0).sum(axis=1)
+    spread = np.stack([np.sqrt((share * share).sum(axis=1)), np.sqrt(share.max(axis=1)), np.log1p(distinct) / np.log(total[:, 0] + PRIOR)], axis=1)
+    return np.concatenate([np.sqrt(share), spread.astype(np.float32)], axis=1)
 
 
 def meta_features(batch: pa.RecordBatch) -> np.ndarray:
@@ -76,7 +85,7 @@ def meta_features(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-4, steps: int = 150, scale: float = 1.0) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-4, steps: int = 300, scale: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and intercept, by accelerated gradient steps; ``scale`` multiplies the features."""
     weight = np.ones(len(y)) if weight is None else weight
     weight = weight / weight.sum()
@@ -171,7 +180,7 @@ def _vectors(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     rows = df.mapInArrow(run, "_label int, t binary, m binary").toArrow()
     rows = sorted(zip(*(rows[c].to_pylist() for c in ("t", "m", "_label")), strict=True))
-    t = np.array([np.frombuffer(r[0], np.float16) for r in rows], np.float32).reshape(len(rows), 1 << DIM_BITS)
+    t = np.array([np.frombuffer(r[0], np.float16) for r in rows], np.float32).reshape(len(rows), (1 << DIM_BITS) + SPREAD)
     m = np.array([np.frombuffer(r[1], np.float16) for r in rows], np.float32).reshape(len(rows), META)
     order = np.random.default_rng(7).permutation(len(rows))
     return t[order], m[order], np.array([r[2] for r in rows], float)[order]
