@@ -1,9 +1,317 @@
-"""Registered queries of the revision-archive engine."""
+"""Registered queries of the revision-archive engine, each with its DuckDB equivalent."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from palimpsest.functions import schedule, text
+from palimpsest.operators import diff, graph, history, search, sets
+from palimpsest.streaming import sync
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- history
+
+
+@_register("""
+SELECT c_custkey, c_name, c_nationkey, o_orderkey, o_orderdate FROM customer LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+  FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01') o ON o.o_custkey = c_custkey AND rn = 1
+""")
+def asof_order_per_customer(spark, sf):
+    customers = _t(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    orders = _t(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return history.as_of(customers, orders, "c_custkey", "o_orderdate", "o_orderkey", "1996-01-01", ["o_orderkey", "o_orderdate"])
+
+
+@_register("SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def newest_revision(spark, sf):
+    return history.newest(_t(spark, sf, "events"), "user_id", "ts", "event_id", ["event_id", "ts", "event_type"])
+
+
+@_register("""
+SELECT event_id, user_id, lag(event_id) OVER w AS previous_id, lead(event_id) OVER w AS next_id
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""")
+def history_adjacency(spark, sf):
+    return history.adjacency(_t(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").drop("ts")
+
+
+@_register("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM events QUALIFY rank <= 5")
+def last_n_history(spark, sf):
+    return history.last_n(_t(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id", 5).select("user_id", "event_id", "rank")
+
+
+@_register("""
+SELECT user_id, event_id FROM (SELECT *, max(CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS old FROM events) WHERE old = 0
+""")
+def since_prefix_history(spark, sf):
+    return history.since_prefix(_t(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id", "2024-01-15").select("user_id", "event_id")
+
+
+@_register("""
+SELECT conv_id, turn, lag(turn) OVER w AS parent_id, coalesce(turn = lag(turn) OVER w + 1, turn = 0) AS chain_ok
+FROM (SELECT conv_id, turn FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+""")
+def parent_chain_check(spark, sf):
+    return history.parent_gaps(_t(spark, sf, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+@_register("""
+SELECT lang, doc_id, n_chars, CAST(running AS BIGINT) AS running FROM (SELECT *, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 100000
+""")
+def cumulative_budget_cut(spark, sf):
+    return history.budget_cut(_t(spark, sf, "documents").select("lang", "doc_id", "n_chars"), "lang", "doc_id", "n_chars", 100_000)
+
+
+@_register("SELECT o_orderkey, o_orderdate, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY o_orderdate DESC, c_nationkey, o_orderkey DESC LIMIT 100")
+def recent_changes_topk(spark, sf):
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    rows = orders.join(_t(spark, sf, "customer").select("c_custkey", "c_nationkey"), orders["o_custkey"] == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "c_nationkey")
+    return history.recent(rows, "o_orderdate", "c_nationkey", "o_orderkey", 100)
+
+
+@_register("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 100")
+def keyset_page(spark, sf):
+    return history.keyset_page(_t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", 1000, 100)
+
+
+# ---- lookups and rollups
+
+
+@_register("SELECT n_name AS title, c_custkey AS page_id, c_name AS current_title FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_name IN (SELECT n_name FROM nation WHERE n_nationkey < 3)")
+def title_lookup_any_alias(spark, sf):
+    names = _t(spark, sf, "nation").where("n_nationkey < 3").select("n_nationkey", "n_name")
+    pages = _t(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return pages.join(names, pages["c_nationkey"] == names["n_nationkey"]).select(F.col("n_name").alias("title"), F.col("c_custkey").alias("page_id"), F.col("c_name").alias("current_title"))
+
+
+@_register("SELECT c_mktsegment, count(DISTINCT c_custkey) AS members, count(o_orderkey) AS captured FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def collection_counts(spark, sf):
+    # orders are counted per page first, so the join moves one row a page
+    captured = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"))
+    pages = _t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return pages.join(captured, pages["c_custkey"] == captured["o_custkey"], "left").groupBy("c_mktsegment").agg(F.count("c_custkey").alias("members"), F.coalesce(F.sum("n"), F.lit(0)).alias("captured"))
+
+
+@_register("""
+SELECT l_orderkey, count(*) AS jobs, count(*) FILTER (l_returnflag = 'A') AS failed, count(*) FILTER (l_returnflag = 'R') AS retried, count(*) FILTER (l_returnflag = 'N') AS pending FROM lineitem GROUP BY 1
+""")
+def run_status_rollup(spark, sf):
+    flag = F.col("l_returnflag")
+    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(flag == "A").alias("failed"), F.count_if(flag == "R").alias("retried"), F.count_if(flag == "N").alias("pending"))
+
+
+@_register("""
+SELECT n_nationkey, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS pages, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS collections,
+  (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey) AS revisions FROM nation
+""")
+def source_usage(spark, sf):
+    customers = _t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    per_page = _t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    pages = customers.join(per_page, "c_custkey", "left").groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("revisions"))
+    suppliers = _t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("collections"))
+    out = _t(spark, sf, "nation").select("n_nationkey", "n_name").join(pages, "n_nationkey", "left").join(suppliers, "n_nationkey", "left")
+    return out.select("n_nationkey", "n_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pages", "collections", "revisions")])
+
+
+@_register("SELECT lang, count(*) AS objects, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT lang, sha256(text) AS h, max(octet_length(encode(text))) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1, 2) GROUP BY 1")
+def distinct_object_bytes(spark, sf):
+    docs = sets.with_any(_t(spark, sf, "documents"), _t(spark, sf, "labels"), "doc_id")
+    return docs.groupBy("lang", F.sha2("text", 256).alias("h")).agg(F.max(F.octet_length("text")).cast("long").alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("objects"), F.sum("n").alias("bytes"))
+
+
+@_register("SELECT source, CASE WHEN count(quality) = count(*) THEN CAST(sum(n_chars) AS BIGINT) END AS predicted, count(*) AS members FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def predicted_bytes_null_poison(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", "source", "n_chars").join(_t(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rows.groupBy("source").agg(F.when(F.count("quality") == F.count(F.lit(1)), F.sum("n_chars")).alias("predicted"), F.count(F.lit(1)).alias("members"))
+
+
+@_register("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1997-01-01')")
+def due_schedules(spark, sf):
+    due = _t(spark, sf, "orders").where((F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp"))).select(F.col("o_custkey").alias("c_custkey"))
+    return sets.with_any(_t(spark, sf, "customer").select("c_custkey"), due, "c_custkey")
+
+
+@_register("SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def unpacked_objects(spark, sf):
+    return sets.without_any(_t(spark, sf, "documents").select("doc_id", "n_chars"), _t(spark, sf, "labels"), "doc_id")
+
+
+@_register("""
+SELECT 'order-customer' AS kind, o_orderkey AS ident FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)
+UNION ALL SELECT 'line-order', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 11 <> 0)
+""")
+def reference_findings(spark, sf):
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    a = sets.missing_references(orders.where("o_custkey % 7 <> 0"), "o_custkey", _t(spark, sf, "customer").where("c_custkey % 5 <> 0"), "c_custkey", "order-customer", "o_orderkey")
+    b = sets.missing_references(_t(spark, sf, "lineitem").select("l_orderkey"), "l_orderkey", orders.where("o_orderkey % 11 <> 0"), "o_orderkey", "line-order", "l_orderkey")
+    return a.unionByName(b)
+
+
+@_register("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')")
+def introduced_revisions(spark, sf):
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    cut = F.lit("1996-01-01").cast("timestamp")
+    return sets.introduced(orders.where(F.col("o_orderdate") >= cut), orders.where(F.col("o_orderdate") < cut), ["o_custkey"]).select("o_orderkey")
+
+
+@_register("""
+SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN 'removed' ELSE 'active' END AS state,
+  CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'removed' ELSE 'kept' END AS change
+FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) b ON a.c_custkey = b.c_custkey
+""")
+def membership_merge(spark, sf):
+    c = _t(spark, sf, "customer").select("c_custkey")
+    return sets.merge_membership(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0"), "c_custkey")
+
+
+@_register("SELECT o_custkey, o_orderdate, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def head_upsert(spark, sf):
+    o = _t(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    cut = F.lit("1997-01-01").cast("timestamp")
+    return sets.upsert_heads(o.where(F.col("o_orderdate") < cut), o.where(F.col("o_orderdate") >= cut), "o_custkey", ["o_orderdate", "o_orderkey"])
+
+
+@_register("SELECT c_nationkey AS source, c_custkey AS page FROM customer UNION SELECT s_nationkey, s_suppkey FROM supplier")
+def distinct_pages_union(spark, sf):
+    a = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("source"), F.col("c_custkey").alias("page"))
+    return a.unionByName(_t(spark, sf, "supplier").select(F.col("s_nationkey").alias("source"), F.col("s_suppkey").alias("page"))).distinct()
+
+
+@_register("SELECT 's256:' || sha256(text) AS object_id, min(doc_id) AS first_doc, count(*) AS copies, max(octet_length(encode(text))) AS bytes FROM documents GROUP BY 1")
+def content_dedup(spark, sf):
+    rows = _t(spark, sf, "documents").select(text.content_id(F.col("text")).alias("object_id"), "doc_id", F.octet_length("text").cast("long").alias("n"))
+    return rows.groupBy("object_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("bytes"))
+
+
+@_register("SELECT lang, count(*) AS records, count(*) FILTER (length(text) <> n_chars) AS wrong_length, count(DISTINCT sha256(text)) AS objects FROM documents GROUP BY 1")
+def verification_summary(spark, sf):
+    return _t(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.length("text") != F.col("n_chars")).alias("wrong_length"), F.count_distinct(F.sha2("text", 256)).alias("objects"))
+
+
+@_register("SELECT count(*) AS articles, max(o_orderdate) AS captured, round(sum(o_totalprice), 2) AS total, count(DISTINCT c_nationkey) AS sources FROM orders JOIN customer ON c_custkey = o_custkey")
+def export_manifest_rollup(spark, sf):
+    o = _t(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    rows = o.join(_t(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == o["o_custkey"])
+    return rows.agg(F.count(F.lit(1)).alias("articles"), F.max("o_orderdate").alias("captured"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_distinct("c_nationkey").alias("sources"))
+
+
+# ---- text and search
+
+
+_BM25 = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t, list_filter(regexp_split_to_array(lower(source), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS s FROM documents),
+f AS (SELECT doc_id, len(t) + len(s) AS dl, len(list_filter(t, lambda x: x = 'this')) + 10.0 * len(list_filter(s, lambda x: x = 'this')) AS a, len(list_filter(t, lambda x: x = 'license')) + 10.0 * len(list_filter(s, lambda x: x = 'license')) AS b FROM d),
+g AS (SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb FROM f)
+SELECT doc_id, round(0.0 - greatest(ln((n - nb + 0.5) / (nb + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / av)) - greatest(ln((n - na + 0.5) / (na + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / av)), 6) AS score
+FROM f, g WHERE a > 0 AND b > 0 ORDER BY score, doc_id LIMIT 50
+"""
+
+
+@_register(_BM25)
+def bm25_search(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", "text", "source")
+    return search.bm25(docs, "doc_id", {"text": "body", "source": "title"}, "this license", 50)
+
+
+@_register(r"""
+WITH l AS (SELECT doc_id, trim(regexp_replace(regexp_extract(text, '^\s*([^\n]*)', 1), '\s+', ' ', 'g')) AS line FROM documents)
+SELECT doc_id, CASE WHEN length(line) > 160 THEN rtrim(substr(line, 1, 160)) || '...' ELSE line END AS excerpt FROM l
+""")
+def lead_excerpt(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@_register("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+def slug(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"))
+
+
+@_register("SELECT c_custkey, replace(url_encode(c_name || ' / ' || c_mktsegment), '+', '%20') AS path FROM customer")
+def percent_encode(spark, sf):
+    return _t(spark, sf, "customer").select("c_custkey", text.percent_encode(F.concat_ws(" / ", "c_name", "c_mktsegment")).alias("path"))
+
+
+# ---- graph
+
+
+@_register("""
+WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS parent, 'n' || n_nationkey AS child FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+b AS (SELECT 'r1' AS node, 0 AS depth UNION SELECT child, depth + 1 FROM b JOIN e ON parent = node WHERE depth < 3)
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY 1
+""")
+def category_bfs(spark, sf):
+    nation, customer = _t(spark, sf, "nation"), _t(spark, sf, "customer")
+    edges = nation.select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child")).unionByName(
+        customer.select(F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.concat(F.lit("c"), "c_custkey").alias("child"))
+    )
+    return graph.category_bfs(edges, spark.range(1).select(F.lit("r1").alias("node")), 3)
+
+
+# ---- incremental
+
+
+@_register("SELECT event_id, user_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10' - INTERVAL 300 SECOND AND ts <= TIMESTAMP '2024-01-20'")
+def overlap_window_batch(spark, sf):
+    return sync.overlap_batch(_t(spark, sf, "events").select("event_id", "user_id", "ts"), "ts", "2024-01-10", "2024-01-20")
+
+
+@_register("SELECT DISTINCT l_orderkey, l_partkey FROM lineitem")
+def idempotent_enqueue(spark, sf):
+    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    return sync.enqueue(rows.where("l_partkey % 2 = 0").distinct(), rows, ["l_orderkey", "l_partkey"])
+
+
+@_register("SELECT event_id, CAST(epoch(ts) AS BIGINT) + (greatest(CAST(floor((1710000000 - CAST(floor(epoch(ts)) AS BIGINT)) / 3600.0) AS BIGINT), 0) + 1) * 3600 AS next_at FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
+def next_cadence(spark, sf):
+    last = F.unix_timestamp(F.date_trunc("second", "ts"))
+    return _t(spark, sf, "events").select("event_id", schedule.next_run(last, F.lit(1_710_000_000), 3600).alias("next_at"))
+
+
+@_register()
+def diff_turns(spark, sf):
+    turns = _t(spark, sf, "conversations").select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    lines = turns.join(before, ["conv_id", "turn"]).withColumn("lines", diff.diff_udf("before", "text"))
+    return lines.select("conv_id", "turn", diff.has_changes(F.col("lines")).alias("changed"), F.size(F.filter("lines", lambda x: x["tag"] == "insert")).alias("inserted"), F.size(F.filter("lines", lambda x: x["tag"] == "delete")).alias("deleted"))
+
+
+@_register()
+def wikitext_render(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", text.wikitext_to_text("text").alias("rendered"), text.headings(F.col("text")).alias("headings"))
+
+
+@_register()
+def object_base36(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", text.base36_sha1(F.col("text")).alias("sha1_base36"), schedule.jitter(F.col("doc_id"), F.lit(1), 600).alias("jitter"))
+
+
+def queries() -> dict[str, Query]:
+    """Every query, by name."""
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL, by query name."""
+    return dict(_SQL)
