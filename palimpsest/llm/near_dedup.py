@@ -37,7 +37,7 @@ from palimpsest.llm._common import materialise, slices, table, words
 
 SHINGLE = 5
 #: Signature length, trees, levels, and the size up to which a node is compared exhaustively.
-COORDINATES, TREES, LEVELS, NODE = 64, 16, 4, 50
+COORDINATES, TREES, LEVELS, NODE = 64, 10, 3, 50
 #: Coordinates that a large node picks for its children.
 BRANCH = 2
 #: Signature agreement under which a pair is no candidate: over four standard deviations below 0.8.
@@ -175,13 +175,15 @@ def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def candidate_edges(classes: DataFrame, trees: int = TREES, levels: int = LEVELS, node_size: int = NODE) -> DataFrame:
     """Candidate edges (src, dst) of classes (sid, sig)."""
     roots = F.transform(F.array(*[F.lit(t) for t in range(trees)]), lambda t: F.element_at(_child(F.xxhash64(F.lit("tree"), t), 1), 1))
-    members = classes.select("sid", "sig", F.explode(roots).alias("node"))
+    tokens = classes.select("sid", "sig")
+    members = tokens.select("sid", F.explode(roots).alias("node"))
     out: DataFrame | None = None
     for level in range(levels):
         # counted before the signatures move: most nodes hold one class and go no further
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("first")).where("size > 1")
         # the paths of a class may meet in a node; equal rows are harmless
-        placed = materialise(members.join(sizes, "node"), f"paths{level}")
+        # signatures are fetched only for what is left
+        placed = materialise(members.join(sizes, "node").join(tokens, "sid"), f"paths{level}")
         small = placed.where(F.col("size") <= node_size).select("node", "sid", "sig").repartition("node").sortWithinPartitions("node")
         edges = small.mapInArrow(_compare_nodes, "src binary, dst binary")
         large = placed.where(F.col("size") > node_size)
@@ -191,7 +193,7 @@ def candidate_edges(classes: DataFrame, trees: int = TREES, levels: int = LEVELS
         if level < levels - 1:
             if large.isEmpty():
                 break
-            members = large.select("sid", "sig", F.explode(F.array_distinct(_child(F.col("node"), BRANCH))).alias("node"))
+            members = large.select("sid", F.explode(F.array_distinct(_child(F.col("node"), BRANCH))).alias("node"))
     return out.distinct()
 
 
