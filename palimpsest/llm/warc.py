@@ -249,7 +249,7 @@ def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to monolithic archives, normalised, and read back by the index."""
     archives = materialise(write_archives(mark_revisits(table(spark, sf_dir, "pages"))), "warc")
     normalised = materialise(normalise_archives(archives), "warcnorm")
-    return read_archives(normalised)
+    return read_archives(normalised).drop("archive", "offset")
 
 
 OP2_SQL = """
