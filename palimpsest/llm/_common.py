@@ -11,8 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that one numpy step takes at a time; a longer single text is taken alone.
-BATCH_BYTES = 6_000_000
+#: Text bytes and rows that one numpy step takes at a time; a longer single text is taken alone.
+BATCH_BYTES, BATCH_ROWS = 4_000_000, 1_000
 
 
 def work_root(spark: SparkSession) -> str:
@@ -37,7 +37,7 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds about ``limit`` bytes at most in each."""
+    """The batches cut so that ``column`` holds about ``limit`` bytes at most in each; what Arrow has freed goes back to the system."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -46,9 +46,10 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BY
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            stop = max(start + 1, min(start + BATCH_ROWS, int(np.searchsorted(ends, before + limit, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
