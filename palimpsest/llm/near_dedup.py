@@ -6,7 +6,8 @@ form a class; only classes are joined.
 1. Trees. Independent trees branch the classes by selected minwise tokens: a
    node picks coordinates of the MinHash signature by its own path, and its
    children are the classes that agree there. Nodes of at most ``NODE`` classes
-   are compared exhaustively by signature; larger ones branch again. What is
+   are compared exhaustively by signature; in larger ones all are compared with
+   the first, and what is not near it branches again. What is
    still large at the last level agrees on so many tokens that it is taken as
    one candidate family. The number of trees sets the recall (:func:`recall`).
 2. Candidate edges are reduced to a spanning forest in each node and joined to
@@ -42,6 +43,9 @@ COORDINATES, TREES, LEVELS, NODE = 64, 10, 3, 50
 BRANCH = 2
 #: Signature agreement under which a pair is no candidate: over four standard deviations below 0.8.
 AGREE = 0.6
+#: In a large node, agreement with its first class from which on a class joins that one's family, and from which on it branches no more.
+#: By the triangle inequality a class within 0.2 of one that stops (0.3 from the first) is within 0.5 of the first: it has joined, with 0.2 to spare for the signatures' error.
+JOINS, STOPS = 0.3, 0.7
 #: Shingles that one verification task holds, about.
 TASK_SHINGLES = 3_000_000
 #: Ids that may be broadcast to pick out documents (8 bytes each); beyond, a shuffled join does it.
@@ -187,13 +191,16 @@ def candidate_edges(classes: DataFrame, trees: int = TREES, levels: int = LEVELS
         small = placed.where(F.col("size") <= node_size).select("node", "sid", "sig").repartition("node").sortWithinPartitions("node")
         edges = small.mapInArrow(_compare_nodes, "src binary, dst binary")
         large = placed.where(F.col("size") > node_size)
-        if level == levels - 1:
-            edges = edges.unionByName(large.where("sid <> first").select(F.col("sid").alias("src"), F.col("first").alias("dst")))
         out = edges if out is None else out.unionByName(edges)
-        if level < levels - 1:
-            if large.isEmpty():
-                break
-            members = large.select("sid", F.explode(F.array_distinct(_child(F.col("node"), BRANCH))).alias("node"))
+        if large.isEmpty():
+            break
+        # a large node's classes are compared with its first one: near families are settled here and do not multiply further down
+        heads = large.where("sid = first").select("node", F.col("sig").alias("head")).dropDuplicates(["node"])
+        same = F.size(F.filter(F.zip_with("sig", "head", lambda a, b: a == b), lambda x: x)) / COORDINATES
+        large = materialise(large.join(heads, "node").withColumn("same", same).drop("head"), f"large{level}")
+        joins = large.where("sid <> first") if level == levels - 1 else large.where((F.col("sid") != F.col("first")) & (F.col("same") >= JOINS))
+        out = out.unionByName(joins.select(F.col("sid").alias("src"), F.col("first").alias("dst")))
+        members = large.where(F.col("same") < STOPS).select("sid", F.explode(F.array_distinct(_child(F.col("node"), BRANCH))).alias("node"))
     return out.distinct()
 
 
