@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,6 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes and rows that one numpy step takes at a time; a longer single text is taken alone.
 BATCH_BYTES, BATCH_ROWS = 4_000_000, 1_000
+#: Rows and bytes of an Arrow batch on its way to and from Python; Spark's own bounds are for short rows.
+ARROW_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8_000_000}
+
+
+def bound_arrow(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch bounds to ``ARROW_BOUNDS``, so that long texts do not pile up in memory; smaller bounds stay."""
+    for key, most in ARROW_BOUNDS.items():
+        number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)[a-z]*", spark.conf.get(key).lower()).groups()
+        now = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def release_memory() -> None:
+    """Give what Arrow and numpy have freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def work_root(spark: SparkSession) -> str:
@@ -32,12 +53,13 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_root(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
+    bound_arrow(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds about ``limit`` bytes at most in each; what Arrow has freed goes back to the system."""
+    """The batches cut so that ``column`` holds about ``limit`` bytes at most in each; what a batch has freed goes back to the system."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -49,7 +71,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BY
             stop = max(start + 1, min(start + BATCH_ROWS, int(np.searchsorted(ends, before + limit, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -77,4 +99,5 @@ def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the given folder."""
+    bound_arrow(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from palimpsest.llm._common import slices, table
+from palimpsest.llm._common import release_memory, slices, table
 from palimpsest.llm.quality_rules import labelled_sample
 
 #: Bounds of the training samples.
@@ -90,7 +90,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2:
     weight = np.ones(len(y)) if weight is None else weight
     weight = weight / weight.sum()
     x = x * np.float32(scale)
-    rate = 4 / (np.max((x * x).sum(axis=1)) + 1 + 4 * l2)
+    rate = 4 / (np.max(np.einsum("ij,ij->i", x, x)) + 1 + 4 * l2)
     w, b = np.zeros(x.shape[1]), 0.0
     v, c = w.copy(), b
     for t in range(steps):
@@ -197,7 +197,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", labe
     # the pool: documents without a label, chosen by a hash of the id
     chosen = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
     ut, um, _ = _vectors(_inputs(slim.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).withColumn("_label", F.lit(0)), "_label"))
-    return co_train(xt, xm, y, ut, um)
+    model = co_train(xt, xm, y, ut, um)
+    del xt, xm, ut, um
+    release_memory()
+    return model
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
