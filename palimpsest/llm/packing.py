@@ -1,7 +1,6 @@
 """Operator 9, best-fit packing with bound-certified repacking.
 
-Documents become token pieces once (Arrow, one tokenizer call per distinct
-chunk). Pieces are dealt to packing partitions of bounded size and packed by
+Documents become token pieces once (Arrow, a tokenizer call per text). Pieces are dealt to packing partitions of bounded size and packed by
 best-fit decreasing. Dual-feasible functions give a lower bound on each
 partition's bins; partitions whose count exceeds it exchange the contents of
 their open bins with other such partitions and pack these again. Full pieces
@@ -14,8 +13,11 @@ texts are cut as the rule says and never shortened.
 
 from __future__ import annotations
 
+import contextlib
+import json
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ END = 2
 #: Pieces that one packing partition gets, about.
 PARTITION_PIECES = 8_000
 ROUNDS = 3
-#: Distinct chunks that a worker remembers before it starts afresh.
-CACHE_CHUNKS = 600_000
+#: Fixed value: the splitting pattern of byte-level vocabularies.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _WORKER: dict = {}
 
@@ -42,84 +44,54 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class ChunkTokenizer:
-    """Token ids of whole texts, calling the tokenizer once per distinct chunk.
-
-    A text is cut before each single space between two visible bytes: the
-    vocabulary's splitting rule never joins characters across such a place, so
-    the chunks' ids, one after another, are the text's ids. Bytes from 0x80 on
-    count as visible only if the text has none of the Unicode spaces.
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Byte strings and ids of a byte-level vocabulary file whose ids follow its merges; None for any other kind."""
+    spec = json.loads(Path(path).read_text())
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    shown = [c for c in range(256) if 0x21 <= c <= 0x7E or (0xA1 <= c and c != 0xAD)]
+    hidden = [c for c in range(256) if c not in set(shown)]
+    of = {chr(c): c for c in shown} | {chr(256 + k): c for k, c in enumerate(hidden)}
+    vocab = model["vocab"]
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != list(range(256, 256 + len(merged))) or len(vocab) != 256 + len(merged):
+        return None
+    return {bytes(of[c] for c in token): k for token, k in vocab.items()}
+
+
+class TextTokenizer:
+    """Token ids of whole texts under a vocabulary file of ``tokenizers``, special tokens taken as ordinary text.
+
+    Byte-level files are run by the faster merge loop of tiktoken, which gives
+    the same ids (tested over all code points); other files, and texts that it refuses, by
+    ``tokenizers``.
     """
 
-    SPACES = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lengths = np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        for lo in range(0, len(chunks), 4096):
-            part = chunks[lo : lo + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                ids, k = e.ids, len(self.known)
-                if k == len(self.starts):
-                    self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.starts[k], self.lengths[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[chunk] = k
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after another, and each text's offset."""
-        texts = texts.cast(pa.large_binary()).fill_null(b"")
-        texts = pa.concat_arrays([texts])
-        buffers = texts.buffers()
-        ends = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        raw = np.frombuffer(buffers[2], np.uint8)[ends[0] : ends[-1]] if buffers[2] else np.zeros(0, np.uint8)
-        ends = ends - ends[0]
-        if not len(raw):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        visible = (raw > 0x20) & (raw != 0x7F)
-        cut = np.zeros(len(raw), bool)
-        cut[1:-1] = (raw[1:-1] == 0x20) & visible[:-2] & visible[2:]
-        if (raw >= 0x80).any():
-            block = raw.tobytes()
-            if any(s in block for s in self.SPACES):
-                for k in range(len(texts)):
-                    if any(s in block[ends[k] : ends[k + 1]] for s in self.SPACES):
-                        cut[ends[k] : ends[k + 1]] = False
-        inner = ends[(ends > 0) & (ends < len(raw))]
-        cut[inner] = True  # texts never share a chunk
-        begin = np.concatenate([[0], np.flatnonzero(cut)]).astype(np.int64)
-        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(raw)).tobytes()), pa.py_buffer(raw.tobytes())])
-        coded = chunks.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > CACHE_CHUNKS:
-            self.clear()
-        self._learn([c for c in distinct if c not in self.known])
-        code = np.fromiter((self.known[c] for c in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
-        size = self.lengths[code]
-        total = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(size, out=total[1:])
-        ids = self.flat[np.repeat(self.starts[code] - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(begin, ends, "left")]
-
-
-def _cached_tokenizer(path: str) -> ChunkTokenizer:
+        self.path, self.whole, self.merge = path, None, None
+        if ranks := byte_ranks(path):
+            import tiktoken
+
+            self.merge = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.merge:
+            # its splitter refuses runs of white space of about a million characters
+            with contextlib.suppress(ValueError):
+                return self.merge.encode_to_numpy(text, disallowed_special=())
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.encode_special_tokens = True
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def _cached_tokenizer(path: str) -> TextTokenizer:
     if path not in _WORKER:
-        _WORKER[path] = ChunkTokenizer(path)
+        _WORKER[path] = TextTokenizer(path)
     return _WORKER[path]
 
 
@@ -130,22 +102,18 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _cached_tokenizer(path)
         for b in slices(batches, "text"):
-            ids, offsets = tok.encode(b.column("text"))
-            ids = ids.astype("<u4", copy=False)
-            n = np.diff(offsets) + 1
-            pieces = -(-n // capacity)
-            first = n - (pieces - 1) * capacity
-            row = np.repeat(np.arange(len(n)), pieces)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            length = np.where(piece == 0, first[row], capacity)
-            start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
-            tail = np.array([end], "<u4").tobytes()
-            crc = np.empty(len(row), np.int64)
-            for k in range(len(row)):
-                r, s, e = row[k], int(start[k]), int(start[k] + length[k])
-                c = zlib.crc32(ids[offsets[r] + s : offsets[r] + min(e, n[r] - 1)].tobytes())
-                crc[k] = zlib.crc32(tail, c) if e == n[r] else c
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            row, piece, start, length, crc = [], [], [], [], []
+            for k, text in enumerate(b.column("text").cast(pa.binary())):
+                ids = np.append(tok.encode((text.as_py() or b"").decode("utf-8", "replace")), end).astype("<u4")
+                at, first = 0, len(ids) % capacity or capacity
+                for n, stop in enumerate(range(first, len(ids) + 1, capacity)):
+                    row.append(k)
+                    piece.append(n)
+                    start.append(at)
+                    length.append(stop - at)
+                    crc.append(zlib.crc32(ids[at:stop].tobytes()))
+                    at = stop
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(v, t) for v, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64())))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -138,6 +138,21 @@ def test_tokens_equal_plain_tokenizer(spark, sf):
         assert len(seqs) <= -(-total // 1024) * 1.01 + 1
 
 
+def test_fast_tokenizer_equals_plain_over_all_code_points():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    assert packing.byte_ranks(path)
+    plain, fast = Tokenizer.from_file(path), packing.TextTokenizer(path)
+    plain.encode_special_tokens = True
+    for lo in range(1, 0x30000, 512):
+        texts = [f"a{c}1{c} {c}b {c}{c}!{c}\n {c} " for c in map(chr, range(lo, lo + 512)) if not "\ud800" <= c <= "\udfff"]
+        for text, e in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert fast.encode(text).tolist() == e.ids
+    for text in ("", "x" * 50_000, " " * 50_000 + "a", " " * 2_000_000 + "a", "<|endoftext|> it's\r\n\n  x"):
+        assert fast.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def exact_bins(sizes, capacity):
     """Fewest bins by search."""
     sizes = sorted(sizes, reverse=True)
