@@ -69,7 +69,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BY
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, min(start + BATCH_ROWS, int(np.searchsorted(ends, before + limit, "right"))))
-            yield batch.slice(start, stop - start)
+            # a copy: some string kernels (ascii_lower) misread arrays whose values do not begin at the buffer's start
+            yield batch.take(pa.array(np.arange(start, stop))) if start else batch.slice(0, stop)
             start = stop
         release_memory()
 

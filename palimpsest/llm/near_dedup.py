@@ -68,7 +68,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     """The set of each text, as sorted distinct 64-bit hashes of its shingles (A-Z lower-cased)."""
-    offsets, codes, vocabulary = words(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # only the words of the vocabulary, a fresh array, are lower-cased
+    offsets, codes, vocabulary = words(texts)
+    vocabulary = pc.ascii_lower(vocabulary)
     if not len(codes):
         return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
     w = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in vocabulary.cast(pa.large_binary()).to_pylist()), np.uint64, len(vocabulary))[codes]

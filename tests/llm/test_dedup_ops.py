@@ -47,6 +47,24 @@ def brute_components(docs, percent, width=5):
     return out
 
 
+def test_sets_of_sliced_batches(sf):
+    import pyarrow.parquet as pq
+
+    from palimpsest.llm._common import slices
+
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    want = [len(brute_set(t)) for t in texts.to_pylist()]
+    for limit in (1_000, 50_000, 10**9):
+        got = [len(s) for b in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", limit) for s in near_dedup.shingle_sets(b.column("text"))]
+        assert got == want
+    assert [len(s) for s in near_dedup.shingle_sets(texts.slice(50, 60))] == want[50:110]
+
+
+def brute_set(text, width=5):
+    w = WORD.findall((text or "").translate({k: k + 32 for k in range(65, 91)}))
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+
 def family(rng, size, words=120):
     seed = [f"w{rng.randrange(400)}" for _ in range(words)]
     out = []
