@@ -89,13 +89,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2:
     """Weights and intercept, by accelerated gradient steps; ``scale`` multiplies the features."""
     weight = np.ones(len(y)) if weight is None else weight
     weight = weight / weight.sum()
-    x = x * np.float32(scale)
-    rate = 4 / (np.max(np.einsum("ij,ij->i", x, x)) + 1 + 4 * l2)
+    rate = 4 / (scale * scale * np.max(np.einsum("ij,ij->i", x, x)) + 1 + 4 * l2)
     w, b = np.zeros(x.shape[1]), 0.0
     v, c = w.copy(), b
     for t in range(steps):
-        e = weight * (1 / (1 + np.exp(-np.clip(x @ v.astype(x.dtype) + c, -50, 50))) - y)
-        w2, b2 = v - rate * (x.T @ e.astype(x.dtype) + l2 * v), c - rate * e.sum()
+        e = weight * (1 / (1 + np.exp(-np.clip(x @ (scale * v).astype(x.dtype) + c, -50, 50))) - y)
+        w2, b2 = v - rate * (scale * (x.T @ e.astype(x.dtype)) + l2 * v), c - rate * e.sum()
         m = t / (t + 3)
         v, c = w2 + m * (w2 - w), b2 + m * (b2 - b)
         w, b = w2, b2
