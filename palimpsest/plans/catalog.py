@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import schedule, text
-from palimpsest.operators import diff, graph, history, search, sets
+from palimpsest.operators import diff, graph, history, ledger, search, sets
 from palimpsest.streaming import sync
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,15 +235,32 @@ def bm25_search(spark, sf):
     return search.bm25(docs, "doc_id", {"text": "body", "source": "title"}, "this license", 50)
 
 
-@_register(r"""
-WITH l AS (SELECT doc_id, trim(regexp_replace(regexp_extract(text, '^\s*([^\n]*)', 1), '\s+', ' ', 'g')) AS line FROM documents)
-SELECT doc_id, CASE WHEN length(line) > 160 THEN rtrim(substr(line, 1, 160)) || '...' ELSE line END AS excerpt FROM l
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _collapsed(column: str) -> str:
+    return rf"regexp_replace(regexp_replace({column}, '[{_SPACE}]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@_register(f"""
+WITH l AS (SELECT doc_id, {_collapsed("text")} AS line FROM documents)
+SELECT doc_id, CASE WHEN length(line) > 240 THEN substr(line, 1, 240) || '…' ELSE line END AS excerpt FROM l
 """)
 def lead_excerpt(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
 
 
-@_register("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+@_register(rf"""
+WITH s AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, coalesce(list_filter(x, lambda y: contains(lower(y), 'license') OR contains(lower(y), 'safety'))[1], list_filter(x, lambda y: {_collapsed("y")} <> '')[1], '') AS line FROM s),
+c AS (SELECT doc_id, {_collapsed("line")} AS line FROM l)
+SELECT doc_id, CASE WHEN length(line) > 200 THEN substr(line, 1, 199) || '…' ELSE line END AS excerpt FROM c
+""")
+def query_excerpt(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", text.query_excerpt(F.col("text"), "license? safety").alias("excerpt"))
+
+
+@_register("SELECT p_partkey, coalesce(nullif(substr(lower(regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g')), 1, 64), ''), 'article') AS slug FROM part")
 def slug(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"))
 
@@ -253,6 +270,127 @@ def percent_encode(spark, sf):
     return _t(spark, sf, "customer").select("c_custkey", text.percent_encode(F.concat_ws(" / ", "c_name", "c_mktsegment")).alias("path"))
 
 
+@_register("SELECT o_orderkey, 'https://a.test/w/index.php?title=' || replace(url_encode('Order of ' || o_custkey), '+', '%20') || '&oldid=' || o_orderkey AS url FROM orders")
+def permanent_urls(spark, sf):
+    title = F.concat(F.lit("Order of "), F.col("o_custkey").cast("string"))
+    return _t(spark, sf, "orders").select("o_orderkey", text.source_url(F.lit("https://a.test/w/api.php?x=1"), title, F.col("o_orderkey")).alias("url"))
+
+
+@_register("""
+WITH d AS (SELECT doc_id, sha256(text) AS h, CAST(octet_length(encode(text)) AS BIGINT) * 1000 AS n, source FROM documents)
+SELECT doc_id, 'objects/loose/b3/' || h[1:2] || '/' || h[3:4] || '/' || h AS path,
+  CASE WHEN n >= 1073741824 THEN printf('%.1f GiB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE n || ' B' END AS size,
+  replace(replace(replace(replace(replace('<' || source || '> & "' || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS label FROM d
+""")
+def object_labels(spark, sf):
+    label = F.concat(F.lit("<"), F.col("source"), F.lit("> & \"'"))
+    return _t(spark, sf, "documents").select(
+        "doc_id", text.loose_path(F.sha2("text", 256)).alias("path"), text.format_bytes(F.octet_length("text").cast("long") * 1000).alias("size"), text.escape_html(label).alias("label")
+    )
+
+
+# ---- ledger
+
+
+@_register("""
+SELECT CASE WHEN bool_or(pending > 0 AND failed > 0) THEN 'attention' WHEN bool_or(pending > 0) THEN 'running' ELSE 'idle' END AS state
+FROM (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS failed, count(*) FILTER (l_returnflag = 'N') AS pending FROM lineitem GROUP BY 1)
+""")
+def library_state(spark, sf):
+    runs = ledger.run_rollup(_t(spark, sf, "lineitem").select("l_orderkey", "l_returnflag"), "l_orderkey", "l_returnflag", ["A", "N"])
+    return ledger.library_state(runs, F.col("N") > 0, F.col("A") > 0)
+
+
+@_register("""
+SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'A' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) = 1) ON l_orderkey = o_orderkey
+""")
+def latest_run_error(spark, sf):
+    errors = _t(spark, sf, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    return ledger.with_latest(_t(spark, sf, "orders").select("o_orderkey"), errors, "o_orderkey", ["l_linenumber", "l_partkey"], ["l_linenumber", "l_partkey"])
+
+
+@_register("SELECT l_suppkey, min(l_orderkey) AS l_orderkey FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1")
+def claim_next_job(spark, sf):
+    return ledger.claim_lowest(_t(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_returnflag"), "l_suppkey", "l_orderkey", F.col("l_returnflag") == "N")
+
+
+@_register("SELECT l_orderkey, max(l_shipdate) AS committed_through FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag <> 'A')")
+def committable_runs(spark, sf):
+    return ledger.committable(_t(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_shipdate"), "l_orderkey", F.col("l_returnflag") != "A", "l_shipdate")
+
+
+@_register("""
+SELECT s_suppkey AS c_custkey, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN c_nationkey = s_nationkey THEN 'applied' ELSE 'stale' END AS outcome, c_nationkey AS actual
+FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON c_custkey = s_suppkey
+""")
+def compare_and_swap(spark, sf):
+    state = _t(spark, sf, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_nationkey")
+    changes = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"))
+    return ledger.compare_and_swap(state, changes, "c_custkey", "c_nationkey")
+
+
+@_register("""
+SELECT s_suppkey AS c_custkey, s_nationkey AS c_nationkey, CASE WHEN c_custkey IS NULL THEN 'inserted' WHEN c_nationkey = s_nationkey THEN 'existing' ELSE 'conflict' END AS outcome
+FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON c_custkey = s_suppkey
+""")
+def insert_or_conflict(spark, sf):
+    state = _t(spark, sf, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_nationkey")
+    offered = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"))
+    return ledger.insert_or_conflict(state, offered, "c_custkey", ["c_nationkey"])
+
+
+@_register("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 20) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 8)")
+def removable_sources(spark, sf):
+    pages = _t(spark, sf, "customer").where("c_custkey < 20").select(F.col("c_nationkey").alias("n_nationkey"))
+    collections = _t(spark, sf, "supplier").where("s_suppkey < 8").select(F.col("s_nationkey").alias("n_nationkey"))
+    return ledger.removable(_t(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey", [pages, collections])
+
+
+@_register("SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN 'removed' ELSE 'active' END AS state FROM customer")
+def tombstoned_members(spark, sf):
+    members = _t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return ledger.tombstone(members.select("c_mktsegment").distinct(), members, "c_mktsegment", F.col("c_mktsegment") == "BUILDING")
+
+
+@_register("SELECT sha256(text) AS object_id, arg_min(doc_id, (source, doc_id)) AS doc_id, min(source) AS source, count(*) - 1 AS spare FROM documents GROUP BY 1")
+def kept_copy(spark, sf):
+    copies = _t(spark, sf, "documents").select(F.sha2("text", 256).alias("object_id"), "doc_id", "source")
+    return ledger.choose_copy(copies, "object_id", ["source", "doc_id"], ["doc_id", "source"])
+
+
+@_register("SELECT user_id, event_type, count(*) AS copies FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_keys(spark, sf):
+    return ledger.repeated_keys(_t(spark, sf, "events"), ["user_id", "event_type"])
+
+
+@_register("""
+SELECT o_custkey, o_orderkey, coalesce(array_to_string(list_reverse(list(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING)), ','), '') AS candidates FROM orders
+""")
+def delta_lookback(spark, sf):
+    rows = ledger.lookback(_t(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+    return rows.withColumn("candidates", F.concat_ws(",", F.col("candidates").cast("array<string>")))
+
+
+@_register("""
+SELECT category, k1, k2 FROM (SELECT 0 AS category, CAST(n_regionkey AS BIGINT) AS k1, CAST(n_nationkey AS BIGINT) AS k2 FROM nation UNION ALL SELECT 1, c_nationkey, c_custkey FROM customer UNION ALL SELECT 2, s_nationkey, s_suppkey FROM supplier)
+WHERE (category, k1, k2) > (1, 20, 50) ORDER BY category, k1, k2 LIMIT 200
+""")
+def integrity_cursor(spark, sf):
+    tables = [(_t(spark, sf, "nation"), "n_regionkey", "n_nationkey"), (_t(spark, sf, "customer"), "c_nationkey", "c_custkey"), (_t(spark, sf, "supplier"), "s_nationkey", "s_suppkey")]
+    return ledger.record_cursor(tables, (1, 20, 50), 200)
+
+
+@_register("SELECT max(o_orderdate) AS cutoff FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders) HAVING count(*) = 1")
+def revision_cutoff(spark, sf):
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return ledger.cutoff_of(orders, "o_orderkey", "o_orderdate", orders.agg(F.max("o_orderkey")).first()[0])
+
+
+@_register("SELECT c_mktsegment AS cadence, count(*) AS schedules, count(*) FILTER (c_acctbal < 0) AS paused FROM customer GROUP BY 1")
+def schedules_by_cadence(spark, sf):
+    return _t(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("cadence")).agg(F.count(F.lit(1)).alias("schedules"), F.count_if(F.col("c_acctbal") < 0).alias("paused"))
+
+
 # ---- graph
 
 
@@ -283,10 +421,21 @@ def idempotent_enqueue(spark, sf):
     return sync.enqueue(rows.where("l_partkey % 2 = 0").distinct(), rows, ["l_orderkey", "l_partkey"])
 
 
-@_register("SELECT event_id, CAST(epoch(ts) AS BIGINT) + (greatest(CAST(floor((1710000000 - CAST(floor(epoch(ts)) AS BIGINT)) / 3600.0) AS BIGINT), 0) + 1) * 3600 AS next_at FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
+@_register("""
+SELECT event_id, (e // 3600 + 1) * 3600 AS next_at, CASE WHEN e % 86400 < 21600 THEN e - e % 86400 + 21600 ELSE e - e % 86400 + 108000 END AS daily_at
+FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS e FROM events)
+""")
 def next_cadence(spark, sf):
-    last = F.unix_timestamp(F.date_trunc("second", "ts"))
-    return _t(spark, sf, "events").select("event_id", schedule.next_run(last, F.lit(1_710_000_000), 3600).alias("next_at"))
+    at = F.unix_timestamp(F.date_trunc("second", "ts"))
+    nominal = [schedule.next_nominal(c, at).alias(n) for c, n in ((schedule.Cadence.interval(3600), "next_at"), (schedule.Cadence.daily(21_600), "daily_at"))]
+    return _t(spark, sf, "events").select("event_id", *nominal)
+
+
+@_register()
+def schedule_recovery(spark, sf):
+    at, now = F.unix_timestamp("o_orderdate"), F.lit(852_076_800)
+    due, following = schedule.recover(schedule.Cadence.interval(86_400), F.col("o_custkey"), 600, at, now)
+    return _t(spark, sf, "orders").select("o_orderkey", due.alias("due_at"), following.alias("next_run_at"))
 
 
 @_register()

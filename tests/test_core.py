@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.functions import schedule, text
-from palimpsest.operators import diff, graph, history, search, sets
+from palimpsest.operators import diff, graph, history, ledger, search, sets
 from palimpsest.plans import catalog
 from palimpsest.sources import records
 from palimpsest.streaming import sync
@@ -79,7 +79,7 @@ def test_wikitext():
 
 def test_text_functions(spark):
     row = spark.createDataFrame([("== A ==\nx\n=== B c ===\n",)], "s string").select(text.headings(F.col("s")), text.base36_sha1(F.lit("")), text.slug(F.lit("--Ab c!")), text.percent_encode(F.lit("a b/é")), text.excerpt(F.lit("\n  a \t b\nc"))).first()
-    assert row[0] == ["A", "B c"] and row[1] == "phoiac9h4m842xq45sp7s6u21eteeq1" and row[2:] == ("ab-c", "a%20b%2F%C3%A9", "a b")
+    assert row[0] == ["A", "B c"] and row[1] == "phoiac9h4m842xq45sp7s6u21eteeq1" and row[2:] == ("ab-c", "a%20b%2F%C3%A9", "a b c")
 
 
 def test_as_of_ties_and_bounds(spark):
@@ -111,10 +111,61 @@ def test_search_needs_every_term(spark):
 
 
 def test_schedule(spark):
-    at = lambda last, now: spark.range(1).select(schedule.next_run(F.lit(last), F.lit(now), 60)).first()[0]
-    assert [at(0, 0), at(0, 59), at(0, 60), at(0, 3601), at(500, 100)] == [60, 60, 120, 3660, 560]
-    with pytest.raises(ValueError):
-        schedule.next_run(F.lit(0), F.lit(0), 59)
+    from palimpsest.functions.schedule import Cadence
+
+    def at(cadence, *times):
+        return [spark.range(1).select(schedule.next_nominal(cadence, F.lit(t))).first()[0] for t in times]
+
+    assert at(Cadence.interval(60), 0, 59, 60) == [60, 60, 120] and at(Cadence.daily(3600), 0, 3600, 86_399) == [3600, 90_000, 90_000] and at(Cadence.manual(), 0) == [None]
+    for wrong in (lambda: Cadence.interval(59), lambda: Cadence.daily(86_400)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_jitter_and_recovery(spark):
+    from palimpsest.functions.schedule import Cadence
+
+    word = (1 << 64) - 1
+
+    def mix(v):
+        v = (v + schedule.STEP) & word
+        v = ((v ^ (v >> 30)) * schedule.FIRST) & word
+        v = ((v ^ (v >> 27)) * schedule.SECOND) & word
+        return v ^ (v >> 31)
+
+    def plain(i, t, most):
+        return mix(schedule.JITTER_DOMAIN ^ mix(i) ^ mix(((t << 29) | (t >> 35)) & word)) % (most + 1)
+
+    def first_after(i, most, after):
+        return min(x for n in range(0, after + 180, 60) if (x := n + plain(i, n, most)) > after)
+
+    rows = [(i, t) for i in (0, 7, 2**40) for t in (0, 59, 60, 119, 1000)]
+    df = spark.createDataFrame([*rows, (None, 5)], "i long, t long")
+    every = Cadence.interval(60)
+    got = {(r[0], r[1]): r[2:] for r in df.select("i", "t", schedule.jitter(F.col("i"), F.col("t"), 30), schedule.next_occurrence(every, F.col("i"), 500, F.col("t"))).collect()}
+    assert all(got[i, t] == (plain(i, t, 30), first_after(i, 59, t)) for i, t in rows) and got[None, 5][0] is None
+    due, following = schedule.recover(every, F.lit(3), 0, F.col("p"), F.lit(130))
+    plans = spark.createDataFrame([(60,), (180,), (None,)], "p long").select("p", due, following).collect()
+    assert [tuple(r) for r in plans] == [(60, 60, 180), (180, None, 180), (None, None, 180)]
+
+
+def test_titles_and_timestamps(spark):
+    cases = [(" A\u00a0", "A", False), ("\t", None, False), ("a\x01b", None, False), ("2024-02-29T23:59:59Z", "2024-02-29T23:59:59Z", True), ("2023-02-29T00:00:00Z", "2023-02-29T00:00:00Z", False), ("0000-01-01T00:00:00Z", "0000-01-01T00:00:00Z", False)]
+    df = spark.createDataFrame([(c[0],) for c in cases], "s string")
+    assert [tuple(r) for r in df.select("s", text.valid_title(F.col("s")), text.strict_timestamp(F.col("s"))).collect()] == cases
+    row = spark.range(1).select(text.format_bytes(F.lit(1023)), text.format_bytes(F.lit(1280)), text.format_bytes(F.lit(1 << 50)), text.timestamp_name(F.lit(5), F.lit(0)), text.timestamp_name(F.lit(5), F.lit(7)), text.escape_markdown(F.lit("a[b]\\"))).first()
+    assert tuple(row) == ("1023 B", "1.2 KiB", "1024.0 TiB", "at-time-unix-5", "at-time-unix-5-000000007", "a\\[b\\]\\\\")
+    slugs = spark.createDataFrame([("",), ("\u212a!",), ("a" * 63 + " b",), ("a" * 70,)], "s string").select(text.slug(F.col("s"))).collect()
+    assert [r[0] for r in slugs] == ["article", "article", "a" * 63 + "-", "a" * 64]
+
+
+def test_ledger_conflicts(spark):
+    state = spark.createDataFrame([(1, 5), (2, None)], "k long, v long")
+    offered = spark.createDataFrame([(1, 5), (1, 6), (2, None), (3, 1)], "k long, v long")
+    assert {(r.k, r.v, r.outcome) for r in ledger.insert_or_conflict(state, offered, "k", ["v"]).collect()} == {(1, 5, "existing"), (1, 6, "conflict"), (2, None, "existing"), (3, 1, "inserted")}
+    assert {(r.k, r.outcome, r.actual) for r in ledger.compare_and_swap(state, offered, "k", "v").collect()} == {(1, "applied", 5), (1, "stale", 5), (2, "applied", None), (3, "missing", None)}
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "k long, t string")
+    assert ledger.cutoff_of(twice, "k", "t", 1).count() == 0 and ledger.library_state(twice.where("k > 1"), F.col("k") > 0, F.col("k") > 0).collect() == [("idle",)]
 
 
 def test_payloads(spark, tmp_path):
