@@ -104,6 +104,14 @@ def test_membership_and_queue(spark):
     assert sorted(r[0] for r in queue.collect()) == [1, 2, 3] and sync.enqueue(queue, b, ["k"]).count() == 3
 
 
+def test_reference_findings_of_whole_tables(spark, tmp_path):
+    spark.createDataFrame([(1,), (5,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, 1), (2, 14), (3, None), (11, 5)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1,), (11,), (77,), (77,)], "l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalog.queries()["reference_findings"](spark, str(tmp_path)).collect()
+    assert Counter(tuple(r) for r in found) == Counter([("order-customer", 2), ("line-order", 77), ("line-order", 77)])
+
+
 def test_search_needs_every_term(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta", "x"), (2, "alpha gamma", "beta"), (3, "alpha", "alpha"), (4, None, None)], "id long, body string, title string")
     hits = [r[0] for r in search.bm25(docs, "id", {"body": "body", "title": "title"}, "alpha AND beta").collect()]
