@@ -341,8 +341,8 @@ def insert_or_conflict(spark, sf):
 
 @_register("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 20) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 8)")
 def removable_sources(spark, sf):
-    pages = _t(spark, sf, "customer").where("c_custkey < 20").select(F.col("c_nationkey").alias("n_nationkey"))
-    collections = _t(spark, sf, "supplier").where("s_suppkey < 8").select(F.col("s_nationkey").alias("n_nationkey"))
+    pages = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"))
+    collections = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
     return ledger.removable(_t(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey", [pages, collections])
 
 

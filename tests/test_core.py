@@ -112,6 +112,13 @@ def test_reference_findings_of_whole_tables(spark, tmp_path):
     assert Counter(tuple(r) for r in found) == Counter([("order-customer", 2), ("line-order", 77), ("line-order", 77)])
 
 
+def test_removable_sources_of_whole_tables(spark, tmp_path):
+    spark.createDataFrame([(k, f"N{k}") for k in range(5)], "n_nationkey long, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(1, 0), (20, 1), (21, None)], "c_custkey long, c_nationkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, 0), (8, 2)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert {tuple(r) for r in catalog.queries()["removable_sources"](spark, str(tmp_path)).collect()} == {(3, "N3"), (4, "N4")}
+
+
 def test_search_needs_every_term(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta", "x"), (2, "alpha gamma", "beta"), (3, "alpha", "alpha"), (4, None, None)], "id long, body string, title string")
     hits = [r[0] for r in search.bm25(docs, "id", {"body": "body", "title": "title"}, "alpha AND beta").collect()]
