@@ -1,8 +1,9 @@
 """Operator 3, benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
 Texts and benchmark items are sequences of words (lower case, letters and
-digits only). An item leaks into a document if some stretch of the document is
-within ``MAX_EDITS`` of the item's word count in word edit distance.
+digits only; in scripts without spaces each character is a word). An item leaks
+into a document if some stretch of the document is within ``MAX_EDITS`` of the
+item's word count in word edit distance: items of up to four words match exactly.
 
 1. Windows. At most k edits leave one of k + 1 equal segments of an item whole,
    so only item-sized windows around an exact segment hit can match: no
@@ -15,8 +16,9 @@ within ``MAX_EDITS`` of the item's word count in word edit distance.
 4. Every proposal is verified by the exact edit distance of the item to the
    best stretch around the window.
 
-Items of fewer than ``LEAST_WORDS`` words are no evidence and match nothing.
-The benchmark is taken in blocks of bounded size, each against all documents.
+Items of fewer than ``SHORT`` words skip steps 2 and 3: all their windows are
+compared. Items without a letter or digit match nothing. The benchmark is taken in blocks of
+bounded size, each against all documents.
 
 Edge cases: null or empty texts match nothing; long texts are searched whole;
 repeated rows are judged one by one; an empty benchmark or table gives no
@@ -38,30 +40,33 @@ from pyspark.sql import functions as F
 from palimpsest.llm._common import slices, table, words
 
 MAX_EDITS = 0.2
-LEAST_WORDS = 8
+#: Items of fewer words are compared with every window around a segment hit, without walk and sampling.
+SHORT = 8
 WALKS, SAMPLES, SAMPLED = 5, 8, 1
 STEPS_PER_WORD = 3
 #: Bytes of benchmark text that one block holds.
 BLOCK_BYTES = 4_000_000
-#: Windows embedded at a time.
+#: Windows embedded or compared at a time.
 WINDOW_CHUNK = 8192
+#: Scripts written without spaces between words.
+UNSPACED = "".join(rf"\p{{{s}}}" for s in "Han Hiragana Katakana Bopomofo Yi Thai Lao Khmer Myanmar Tibetan Javanese Balinese Tai_Le New_Tai_Lue Tai_Tham Tai_Viet".split())
 
 
 def _normal(values: pa.Array) -> pa.Array:
-    return pc.replace_substring_regex(pc.utf8_lower(values.cast(pa.large_string())), pattern=r"[^\p{L}\p{N}]+", replacement="")
+    plain = pc.replace_substring_regex(pc.utf8_lower(values.cast(pa.large_string())), pattern=r"[^\p{L}\p{N}]+", replacement="")
+    return pc.replace_substring_regex(plain, pattern=f"([{UNSPACED}])", replacement=r" \1 ")
 
 
 def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Row offsets, codes and dictionary of the normal words; words without a letter or digit are dropped."""
+    """Row offsets, codes and dictionary of the normal words; words without a letter or digit are dropped, unspaced ones split."""
     offsets, codes, vocabulary = words(texts)
-    coded = _normal(vocabulary).dictionary_encode()
-    remap = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    empty = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
-    codes = remap[codes] if len(codes) else codes.astype(np.int64)
-    keep = ~empty[codes] if len(codes) else np.zeros(0, bool)
+    starts, parts, dictionary = words(_normal(vocabulary))
+    codes = codes.astype(np.int64)
+    n = starts[codes + 1] - starts[codes]
     total = np.zeros(len(codes) + 1, np.int64)
-    np.cumsum(keep, out=total[1:])
-    return total[offsets], codes[keep], coded.dictionary
+    np.cumsum(n, out=total[1:])
+    at = np.repeat(starts[codes] - total[:-1], n) + np.arange(total[-1])
+    return total[offsets], parts.astype(np.int64)[at], dictionary
 
 
 @dataclass
@@ -129,7 +134,7 @@ def _key(embedded: np.ndarray, steps: np.ndarray, base: int) -> np.ndarray:
 def build_items(rows: list[tuple[int, str | None]]) -> Items:
     """Segments and LSH tables of one block of (item_id, text)."""
     offsets, codes, vocabulary = normal_words(pa.array([t for _, t in rows], pa.large_string()))
-    keep = [k for k in range(len(rows)) if offsets[k + 1] - offsets[k] >= LEAST_WORDS]
+    keep = [k for k in range(len(rows)) if offsets[k + 1] - offsets[k] > 0]
     out = Items([rows[k][0] for k in keep], [codes[offsets[k] : offsets[k + 1]] for k in keep], vocabulary)
     seeds: dict[int, list[tuple[int, int, int]]] = {}
     for k, c in enumerate(out.codes):
@@ -146,7 +151,7 @@ def build_items(rows: list[tuple[int, str | None]]) -> Items:
         a = np.array(sorted(found), np.int64)
         out.seeds[q] = (a[:, 0], a[:, 1], a[:, 2])
     lengths = np.array([len(c) for c in out.codes])
-    for n in np.unique(lengths).tolist():
+    for n in np.unique(lengths[lengths >= SHORT]).tolist():
         who = np.flatnonzero(lengths == n)
         flat = np.concatenate([out.codes[k] for k in who])
         start = np.arange(len(who)) * n
@@ -190,6 +195,25 @@ def best_stretch(item: np.ndarray, words_: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(origin[end]), end
 
 
+def short_hits(offsets: np.ndarray, codes: np.ndarray, items: Items, n: int, first: np.ndarray, row: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which of the windows of ``n`` words at ``first`` are within the allowed edits of their item, up to as many words shifted."""
+    k, out = edits_allowed(n), np.zeros(len(first), bool)
+    for lo in range(0, len(first), WINDOW_CHUNK):
+        f, r = first[lo : lo + WINDOW_CHUNK], row[lo : lo + WINDOW_CHUNK]
+        mine = np.stack([items.codes[x] for x in item[lo : lo + WINDOW_CHUNK]])
+        at = f[:, None] + np.arange(-k, n + k)
+        inside = (at >= offsets[r][:, None]) & (at < offsets[r + 1][:, None])
+        seen = np.where(inside, codes[np.clip(at, 0, len(codes) - 1)], -2)
+        last = [np.zeros(len(f), np.int64)] * (n + 2 * k + 1)
+        for i in range(n):
+            new = [last[0] + 1]
+            for j in range(n + 2 * k):
+                new.append(np.minimum(last[j] + (seen[:, j] != mine[:, i]), np.minimum(last[j + 1], new[-1]) + 1))
+            last = new
+        out[lo : lo + WINDOW_CHUNK] = np.min(last, axis=0) <= k
+    return out
+
+
 def find_leaks(offsets: np.ndarray, codes: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
     """(row, item number, distance, first word, end word) of the leaks in a batch of coded texts.
 
@@ -199,6 +223,7 @@ def find_leaks(offsets: np.ndarray, codes: np.ndarray, items: Items) -> list[tup
         return []
     row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     windows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    proposals = set()
     lengths = np.array([len(c) for c in items.codes])
     slack = np.array([edits_allowed(int(n)) for n in lengths])
     for q, (keys, who, at) in items.seeds.items():
@@ -217,10 +242,15 @@ def find_leaks(offsets: np.ndarray, codes: np.ndarray, items: Items) -> list[tup
         for n in np.unique(lengths[item]).tolist():
             mine = lengths[item] == n
             k = edits_allowed(n)
+            if n < SHORT:
+                f, r, who_ = first[mine], row_of[pos[a][mine]], item[mine]
+                hit = short_hits(offsets, codes, items, n, f, r, who_)
+                f = np.clip(f, offsets[r], offsets[r + 1] - 1)
+                proposals.update(zip(r[hit].tolist(), who_[hit].tolist(), f[hit].tolist(), strict=True))
+                continue
             start = (first[mine][:, None] + np.arange(-k, k + 1)).ravel()
             row = np.repeat(row_of[pos[a][mine]], 2 * k + 1)
             windows.setdefault(n, []).append((start, row))
-    proposals = set()
     for n, found in windows.items():
         start, row = np.concatenate([s for s, _ in found]), np.concatenate([r for _, r in found])
         start = np.clip(start, offsets[row], np.maximum(offsets[row], offsets[row + 1] - 1))

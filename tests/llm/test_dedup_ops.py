@@ -216,6 +216,31 @@ def test_leaks_in_edge_documents(spark, sf):
     assert decontamination.leak_pairs(edge_documents(spark), bench).count() == 0
 
 
+def test_leaks_of_short_and_unspaced_items(spark):
+    rng = random.Random(8)
+    voc = [f"v{k}" for k in range(40)]
+    items = [" ".join(rng.choice(voc) for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 7) for _ in range(3)]
+    texts = [None, ""]
+    for _ in range(300):
+        w = rng.choice(items).split()
+        for _ in range(rng.randrange(3)):
+            k, p = rng.randrange(3), rng.randrange(len(w) or 1)
+            w[p : p + (k < 2)] = [rng.choice(voc)] if k else []
+        texts.append(" ".join(rng.choices(voc, k=rng.randrange(6)) + [x.upper() + "," for x in w] + rng.choices(voc, k=rng.randrange(6))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(k, j): d for k, t in enumerate(texts) for j, it in enumerate(items) if (d := plain_distance(normal(it), normal(t))) <= len(normal(it)) // 5}
+    rows = rows_of(decontamination.leak_pairs(docs, bench), "doc_id", "item_id", "distance", "begin_word", "end_word")
+    assert len(want) > 300 and {(k, j) for k, j, *_ in rows} == set(want)
+    assert all(plain_distance(normal(items[j]), normal(texts[k])[a:b]) == d and want[k, j] <= d for k, j, d, a, b in rows)
+    left = {r[0] for r in rows_of(decontamination.drop_contaminated(docs, bench), "doc_id")}
+    assert left == set(range(len(texts))) - {k for k, _ in want}
+
+    bench = spark.createDataFrame([(0, "世界上最高的山峰是哪一座?"), (1, "กรุงเทพมหานครเป็นเมืองหลวง"), (2, "東京タワー")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "前言。世界上最高的山是哪一座?答案"), (1, "ว่ากรุงเทพมหานครเป็นเมืองหลวงของ"), (2, "昨日 東京タワーへ行った"), (3, "世界上的人")], "doc_id long, text string")
+    assert set(rows_of(decontamination.leak_pairs(docs, bench), "doc_id", "item_id", "distance")) == {(0, 0, 1), (1, 1, 0), (2, 2, 0)}
+
+
 def test_cgk_maps_edits_to_hamming():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1000, 40)
