@@ -14,7 +14,8 @@ item's word count in word edit distance: items of up to four words match exactly
 3. Repeated bit-sampling LSH over the embeddings (several walks, several
    samples each) proposes (window, item) pairs.
 4. Every proposal is verified by the exact edit distance of the item to the
-   best stretch around the window.
+   best stretch around the window; where windows run together, the words before
+   and after a stretch found are searched again until none is left.
 
 Items of fewer than ``SHORT`` words skip steps 2 and 3: all their windows are
 compared. Items without a letter or digit match nothing. The benchmark is taken in blocks of
@@ -174,8 +175,8 @@ def _matches(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.
     return who, np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def best_stretch(item: np.ndarray, words_: np.ndarray) -> tuple[int, int, int]:
-    """(distance, begin, end) of the stretch of ``words_`` nearest to ``item`` in edit distance."""
+def nearest_stretches(item: np.ndarray, words_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end in ``words_`` the least edit distance of ``item`` to a stretch up to there, and where that begins."""
     n = len(words_)
     row, origin = np.zeros(n + 1, np.int64), np.arange(n + 1)
     steps = np.arange(n + 1)
@@ -191,8 +192,28 @@ def best_stretch(item: np.ndarray, words_: np.ndarray) -> tuple[int, int, int]:
         low = np.minimum.accumulate(level)
         first = np.maximum.accumulate(np.where(level == low, steps, 0))
         row, origin = low + steps, src[first]
-    end = int(np.argmin(row))
-    return int(row[end]), int(origin[end]), end
+    return row, origin
+
+
+def all_stretches(item: np.ndarray, codes: np.ndarray, a: int, b: int, most: int) -> list[tuple[int, int, int]]:
+    """(distance, begin, end) of stretches of codes[a:b] that do not overlap and are within ``most`` edits of ``item``, nearest first; what lies between them is searched again."""
+    todo, out = [(a, b)], []
+    while todo:
+        a, b = todo.pop()
+        if b - a < len(item) - most:
+            continue
+        row, origin = nearest_stretches(item, codes[a:b])
+        ends = np.flatnonzero(row <= most)
+        free = np.ones(b - a, bool)
+        for end in ends[np.argsort(row[ends], kind="stable")].tolist():
+            begin = int(origin[end])
+            if free[begin:end].all():
+                free[begin:end] = False
+                out.append((int(row[end]), a + begin, a + end))
+        if len(ends):
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            todo += [(a + x, a + y) for x, y in edge.reshape(-1, 2).tolist()]
+    return out
 
 
 def short_hits(offsets: np.ndarray, codes: np.ndarray, items: Items, n: int, first: np.ndarray, row: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -268,7 +289,7 @@ def find_leaks(offsets: np.ndarray, codes: np.ndarray, items: Items) -> list[tup
     out, span = [], None
     runs: list[list[int]] = []
     for r, k, s in sorted(proposals):  # neighbouring windows of one item are verified as one stretch
-        if span == (r, k) and s - runs[-1][3] <= lengths[k]:
+        if span == (r, k) and s - runs[-1][3] <= lengths[k] + 2 * slack[k]:
             runs[-1][3] = s
         else:
             runs.append([r, k, s, s])
@@ -276,9 +297,7 @@ def find_leaks(offsets: np.ndarray, codes: np.ndarray, items: Items) -> list[tup
     for r, k, first, last in runs:
         a = max(int(offsets[r]), first - int(slack[k]))
         b = min(int(offsets[r + 1]), last + int(lengths[k]) + int(slack[k]))
-        d, begin, end = best_stretch(items.codes[k], codes[a:b])
-        if d <= slack[k]:
-            out.append((r, k, d, a + begin - int(offsets[r]), a + end - int(offsets[r])))
+        out += [(r, k, d, begin - int(offsets[r]), end - int(offsets[r])) for d, begin, end in all_stretches(items.codes[k], codes, a, b, int(slack[k]))]
     return out
 
 
@@ -299,7 +318,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
 
 
 def leak_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per leaking stretch: doc_id, item_id, distance, item_words, begin_word, end_word (normal words from 0)."""
+    """One row per leaking stretch, those of one item not overlapping: doc_id, item_id, distance, item_words, begin_word, end_word (normal words from 0)."""
     schema = "doc_id long, item_id long, distance int, item_words int, begin_word long, end_word long"
     slim, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     for items in item_blocks(benchmark):

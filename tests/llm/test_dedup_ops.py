@@ -241,6 +241,16 @@ def test_leaks_of_short_and_unspaced_items(spark):
     assert set(rows_of(decontamination.leak_pairs(docs, bench), "doc_id", "item_id", "distance")) == {(0, 0, 1), (1, 1, 0), (2, 2, 0)}
 
 
+def test_every_stretch_of_a_repeated_item(spark):
+    item = [f"u{k}" for k in range(10)]
+    near = [*item[:4], "other", *item[5:]]
+    texts = [item * 100, item + near + ["x"] * 3 + item, item + ["x"] * 50 + item, ["y"] + ["yes"] * 4]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, "yes")], "item_id long, text string")
+    want = Counter((0, 0, 0, 10 * k, 10 * k + 10) for k in range(100)) + Counter([(1, 0, 0, 0, 10), (1, 0, 1, 10, 20), (1, 0, 0, 23, 33), (2, 0, 0, 0, 10), (2, 0, 0, 60, 70)]) + Counter((3, 1, 0, k, k + 1) for k in range(1, 5))
+    assert Counter(rows_of(decontamination.leak_pairs(docs, bench), "doc_id", "item_id", "distance", "begin_word", "end_word")) == want
+
+
 def test_cgk_maps_edits_to_hamming():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1000, 40)
