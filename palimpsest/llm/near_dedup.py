@@ -328,16 +328,21 @@ def verified_links(docs: DataFrame, classes: DataFrame, families: DataFrame, per
     return ready.mapInArrow(_verifier(percent, width), "src binary, dst binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept. Links are pairs with 100 * intersection >= percent * union."""
+def rooted_classes(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of the documents, and per class (sid) its smallest id (low) and the root of its component."""
     sketched = materialise(sketch_documents(docs, width), "sketches")
     classes = sketched.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.min("text_key").alias("text_key"))
     classes = materialise(classes, "classes")
     edges = candidate_edges(classes.select("sid", "sig"))
     families = connected_components(edges)
     links = connected_components(verified_links(docs, classes, families, percent, width))
+    return sketched, classes.select("sid", "low").join(links.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept. Links are pairs with 100 * intersection >= percent * union."""
+    sketched, rooted = rooted_classes(docs, percent, width)
     # the smallest id of each component of classes
-    rooted = classes.select("sid", "low").join(links.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     component = rooted.join(lowest, "root").select("sid", "component_id")
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(component, "sid", "left")
@@ -361,11 +366,18 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component; rows repeated in id and text count as one document."""
-    kept = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
-    known = docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(*docs.columns)
-    nameless = docs.where("doc_id IS NULL")
-    return known.unionByName(nameless).dropDuplicates(["doc_id", "text"])
+    """``docs`` with one document of each component, that of the smallest id (one without an id only if none has one).
+
+    Rows without words are linked with nothing and stay; rows repeated in id and text count as one document.
+    """
+    sketched, rooted = rooted_classes(docs, percent, SHINGLE)
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    first = sketched.where("sid IS NOT NULL").groupBy("sid").agg(F.min(row).alias("first"))
+    chosen = rooted.select("sid", "root").join(first, "sid").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    wordless = sketched.where("sid IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    kept = chosen.unionByName(wordless)
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"], F.lit(1)) == kept["_key"])
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op5_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

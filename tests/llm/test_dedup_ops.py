@@ -101,6 +101,20 @@ def test_connected_components_of_a_chain(spark):
     assert dict(rows_of(near_dedup.connected_components(edges), "id", "root")) == dict.fromkeys(range(60), 0) | {100: 100, 101: 100, 103: 100}
 
 
+def test_one_row_stays_of_each_component(spark):
+    rng = random.Random(12)
+    (a, a2), (b, b2, b3), (c, c2) = (family(rng, n, 200) for n in (2, 3, 2))
+    alone = family(rng, 1)[0]
+    # near copies without ids, with an id beside one, and one id on texts of two components and twice in one
+    rows = [(None, a), (None, a2), (None, a2), (4, b), (None, b2), (None, b), (9, b3), (4, c), (4, c2), (None, alone), (None, ""), (7, ""), (8, None), (8, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _key long")
+    got = Counter(rows_of(near_dedup.keep_one_of_each(docs, 80), "doc_id", "text"))
+    of_a, of_c = {k: n for k, n in got.items() if k[1] in (a, a2)}, {k: n for k, n in got.items() if k[1] in (c, c2)}
+    assert len({a, a2}) == len({b, b2, b3}) - 1 == len({c, c2}) == 2
+    assert sum(of_a.values()) == sum(of_c.values()) == 1 and {k[0] for k in of_c} == {4}
+    assert Counter({k: n for k, n in got.items() if k not in of_a and k not in of_c}) == Counter([(4, b), (None, alone), (None, ""), (7, ""), (8, None)])
+
+
 def test_recall_formula():
     assert near_dedup.recall(0.8) > 0.9999
 
