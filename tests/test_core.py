@@ -183,6 +183,14 @@ def test_ledger_conflicts(spark):
     assert ledger.cutoff_of(twice, "k", "t", 1).count() == 0 and ledger.library_state(twice.where("k > 1"), F.col("k") > 0, F.col("k") > 0).collect() == [("idle",)]
 
 
+def test_conflicts_with_whole_state(spark, tmp_path):
+    spark.createDataFrame([(1, 5), (3, 5), (6, 5)], "c_custkey long, c_nationkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, 5), (3, 5), (6, 7), (9, 5)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    outcomes = lambda name: {r.c_custkey: r.outcome for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    assert outcomes("compare_and_swap") == {1: "applied", 3: "applied", 6: "stale", 9: "missing"}
+    assert outcomes("insert_or_conflict") == {1: "existing", 3: "existing", 6: "conflict", 9: "inserted"}
+
+
 def test_payloads(spark, tmp_path):
     page = {"pageid": 7, "ns": 0, "title": "T", "revisions": [{"revid": 2, "parentid": 1, "timestamp": "2020-01-01T00:00:00Z", "comment": "c", "size": 3, "slots": {"main": {"content": "abc"}}}]}
     (tmp_path / "a.json").write_text(json.dumps({"query": {"pages": [page, {"title": "U", "missing": True}]}}, indent=1))
