@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes and rows that one numpy step takes at a time; a longer single text is taken alone.
 BATCH_BYTES, BATCH_ROWS = 4_000_000, 1_000
@@ -39,10 +40,14 @@ def release_memory() -> None:
 def work_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    Only where that is unset (as in tests) a temporary folder is made and set.
+    Only where that is unset and the master is local (as in tests) a temporary
+    folder is made and set; on a cluster every machine would have its own, so
+    there the setting is demanded.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -55,7 +60,36 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{work_root(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
     bound_arrow(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._palimpsest_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of tables that :func:`materialise` wrote and nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._palimpsest_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is hot if it has more than this share of all rows, so at most ``1 / HOT_SHARE`` keys are hot.
+HOT_SHARE = 1 / 1000
+
+
+def join_by_weight(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, whose keys are unique and whose column ``weight`` counts the rows of ``left`` with that key.
+
+    Hot keys, at most ``1 / HOT_SHARE`` of them as their weights add up to no
+    more than all rows, are broadcast, so that their rows stay where they are;
+    the others are shuffled. Both must be tables that can be read again.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(1, int(total * HOT_SHARE))
+    few = F.broadcast(right.where(hot))
+    if right.where(hot).isEmpty():
+        return left.join(right.drop(weight), on)
+    spread = left.join(few.select(*on), on, "left_anti").join(right.where(~hot).drop(weight), on)
+    return left.join(few.drop(weight), on).unionByName(spread)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

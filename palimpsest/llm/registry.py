@@ -39,4 +39,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """SQL where it can express the query's rows and columns."""
-    return {"op2_warc_normaliser": warc.OP2_SQL, "op5_chosen_path_dedup": OP5_SQL}
+    return {"op2_warc_normaliser": warc.OP2_SQL, "op5_chosen_path_dedup": OP5_SQL, "op8_suffix_levels": suffix_dedup.OP8_SQL}

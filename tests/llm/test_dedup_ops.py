@@ -152,31 +152,74 @@ def passages(rng):
     return [*out, "z" * 399, "z" * 400, "z" * 401, "y" * 900, None, "", "ab" * 300, out[0], out[0]]
 
 
+def brute_passages(docs, length=51):
+    texts = [(i, WORD.findall(t or "")) for i, t in docs]
+    seen = defaultdict(set)
+    for k, (_, w) in enumerate(texts):
+        for p in range(len(w) - length + 1):
+            seen[tuple(w[p : p + length])].add(k)
+    out = Counter()
+    for i, w in texts:
+        hit = bytearray(len(w))
+        for p in range(len(w) - length + 1):
+            if len(seen[tuple(w[p : p + length])]) > 1:
+                hit[p : p + length] = b"\1" * length
+        out[i, sum(hit)] += 1
+    return out
+
+
+def shared_passages(rng):
+    """Texts with passages of words, short and long, shared by documents, twice in one document only, and in other white space."""
+    noise = lambda n: [rng.choice("abcdefghij") * rng.randrange(1, 3) + str(rng.randrange(30)) for _ in range(n)]
+    p, own = [noise(n) for n in (50, 51, 52, 90, 300)], noise(130)
+    out = []
+    for k in range(30):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            x = rng.choice(p)
+            a, z = (0, len(x)) if rng.random() < 0.5 else sorted(rng.sample(range(len(x)), 2))
+            parts += noise(rng.randrange(0, 60)) + x[a:z]
+        out.append((" " if k % 3 else "\n ").join(parts))
+    return [*out, " ".join([*own, "x", *own, *noise(80), *own]), " ".join(["z"] * 200), "v " * 300, "v " * 120]
+
+
 def test_repeats_removed(spark, sf):
     made = spark.createDataFrame(list(enumerate(passages(random.Random(2)))), "doc_id long, text string")
-    for docs in (edge_documents(spark).where("doc_id is null or doc_id not in (13, 14)"), made, real_documents(spark, sf).where("length(text) < 9000"), made.limit(0)):
+    words = spark.createDataFrame(list(enumerate(shared_passages(random.Random(5)))), "doc_id long, text string")
+    for docs in (edge_documents(spark).where("doc_id is null or doc_id not in (13, 14)"), made, words, real_documents(spark, sf).where("length(text) < 9000"), made.limit(0)):
         out = suffix_dedup.remove_repeats(docs)
         assert Counter(rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_removed(rows_of(docs, "doc_id", "text"))
+        assert Counter(rows_of(out, "doc_id", "n_passage_words")) == brute_passages(rows_of(docs, "doc_id", "text"))
 
 
-def test_common_grams_take_the_counted_way(spark, monkeypatch):
-    made = spark.createDataFrame(list(enumerate(passages(random.Random(3)))), "doc_id long, text string")
-    plain = suffix_dedup.repeated_windows
-    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda docs: plain(docs, giant=3))
-    assert Counter(rows_of(suffix_dedup.remove_repeats(made), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_removed(rows_of(made, "doc_id", "text"))
+def test_slivers_of_hot_grams(spark, monkeypatch):
+    made = spark.createDataFrame(list(enumerate(passages(random.Random(3)) + shared_passages(random.Random(7)))), "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "TASK_STRETCHES", 40)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 0.0)
+    out = suffix_dedup.remove_repeats(made)
+    assert Counter(rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_removed(rows_of(made, "doc_id", "text"))
+    assert Counter(rows_of(out, "doc_id", "n_passage_words")) == brute_passages(rows_of(made, "doc_id", "text"))
 
 
-def test_index_family_levels_are_geometric():
+def test_index_family_levels_are_geometric_and_ordered():
     rng = np.random.default_rng(0)
-    family, seen, want = suffix_dedup.IndexFamily(), [], []
+    family, texts, owners = suffix_dedup.IndexFamily(16), [], []
     for _ in range(33):
-        h = rng.integers(0, 3000, 64).astype(np.uint64)
-        family.add(h, h * np.uint64(7))
-        seen += h.tolist()
+        n = 64
+        # windows of few letters, many of them alike up to their last bytes
+        raw = rng.integers(0, 2, n * 16).astype(np.uint8) * (rng.random(n * 16) < 0.05) + np.uint8(97)
+        owner = rng.integers(0, 40, n)
+        family.add(raw.astype(np.uint8), np.arange(n) * 16, owner)
+        texts += [bytes(raw[k * 16 : k * 16 + 16].astype(np.uint8)) for k in range(n)]
+        owners += owner.tolist()
         assert len(family.levels) <= 8
-    n = Counter(seen)
-    want = [n[x] > 1 for x in seen]
-    assert family.repeated.tolist() == want
+        for level in family.levels:
+            rows = [bytes(r) for r in level.rows(np.arange(len(level)))]
+            assert rows == sorted(set(rows))
+    who = defaultdict(set)
+    for t, o in zip(texts, owners, strict=True):
+        who[t].add(o)
+    assert family.repeated().tolist() == [len(who[t]) > 1 for t in texts]
 
 
 # ---- op3
