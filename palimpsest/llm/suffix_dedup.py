@@ -19,7 +19,9 @@ Two rules of what a repeat is, by one engine:
    starts in the byte order of the suffixes' first ``LENGTH`` bytes. The array
    is merge-scanned against the levels of the index family, becomes a level,
    and levels of about equal size merge, so a window is merged a logarithmic number of
-   times. Windows are compared byte by byte; no hash decides.
+   times. Windows are compared byte by byte; no hash decides. As the stretches
+   come sorted by gram, a family is closed when its grams have passed, so it
+   never holds more than a batch and one gram.
 3. Covered ranges are joined to the texts and cut out.
 
 Skew. A gram with more than ``HOT_SHARE`` of all stretches is hot; there are at
@@ -164,10 +166,10 @@ class Level:
     def word(self, pick, d: int) -> np.ndarray:  # noqa: ANN001
         """Bytes 8d to 8d+7 of the picked windows, as numbers in byte order."""
         at = self.at[pick] + 8 * d
-        return np.ascontiguousarray(self.raw[at[:, None] + np.arange(8)]).view(">u8")[:, 0].astype(np.uint64)
+        return np.lib.stride_tricks.sliding_window_view(self.raw, 8)[at].view(">u8")[:, 0].astype(np.uint64)
 
     def rows(self, pick: np.ndarray) -> np.ndarray:
-        return self.raw[self.at[pick][:, None] + np.arange(self.width)]
+        return np.lib.stride_tricks.sliding_window_view(self.raw, self.width)[self.at[pick]]
 
     def locate(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
         """For each window of ``other``, how many windows of this level are smaller, and whether the next one is equal."""
@@ -392,8 +394,14 @@ class _Task:
         self.n: list[int] = []
         self.held: list[tuple[bytes, int]] = []
         self.size = 0
+        self.route: int | None = None
 
-    def take(self, kg: int, rid: int, first: int, whole: bool, data: bytes) -> None:
+    def full(self, route: int) -> bool:
+        """Whether ``route`` is a new one after enough windows: nothing to come is equal to any of these."""
+        return route != self.route and self.size + self.family.count >= BATCH_WINDOWS
+
+    def take(self, route: int, kg: int, rid: int, first: int, whole: bool, data: bytes) -> None:
+        self.route = route
         n = len(data) // self.rule.unit - self.rule.length + 1
         # by the bytes rule every stretch owns its windows, by the words rule every document
         self.held.append((data, IndexFamily.MANY if whole else rid if self.rule.across else len(self.where)))
@@ -422,14 +430,21 @@ class _Task:
 
 
 def _index_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of a partition's stretches, by one index family for each rule; equal windows have equal routes and meet in one partition."""
+    """Repeated windows of a partition's stretches, sorted by route, by an index family for each rule and run of routes; equal windows have equal routes."""
+
+    def report(task: _Task) -> pa.RecordBatch:
+        cols = list(zip(*task.ranges(), strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["kg", "rid", "first", "last"])
+
     tasks = [_Task(rule) for rule in RULES]
     for b in batches:
-        for kg, *rest in zip(*(b.column(c).to_pylist() for c in ("kg", "rid", "first", "whole", "data")), strict=True):
-            tasks[kg & 1].take(kg, *rest)
-    for t in tasks:
-        cols = list(zip(*t.ranges(), strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["kg", "rid", "first", "last"])
+        for route, kg, *rest in zip(*(b.column(c).to_pylist() for c in ("route", "kg", "rid", "first", "whole", "data")), strict=True):
+            k = kg & 1
+            if tasks[k].full(route):
+                yield report(tasks[k])
+                tasks[k] = _Task(RULES[k])
+            tasks[k].take(route, kg, *rest)
+    yield from map(report, tasks)
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
@@ -454,7 +469,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     want = edge.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("kg", F.col("one.span").alias("span"), "whole", "hot")).alias("want"))
     cut = rows.select("rid", "text").join(want, "rid").mapInArrow(_cut_stretches, "route long, kg long, rid long, first long, whole boolean, data binary")
     tasks = max(1, -(-total // TASK_STRETCHES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = materialise(cut.repartition(tasks, "route").mapInArrow(_index_tasks, "kg long, rid long, first long, last long"), "indexed")
+    out = materialise(cut.repartition(tasks, "route").sortWithinPartitions("route").mapInArrow(_index_tasks, "kg long, rid long, first long, last long"), "indexed")
     # what holds for a stretch that stands for others within its document holds for those too
     lead = F.shiftright("one.span", 20)
     end = lead + F.shiftright("one.span", 10).bitwiseAND(F.lit(1023))
