@@ -3,8 +3,10 @@
 Documents become token pieces once (Arrow, a tokenizer call per text). Pieces are dealt to packing partitions of bounded size and packed by
 best-fit decreasing. Dual-feasible functions give a lower bound on each
 partition's bins; partitions whose count exceeds it exchange the contents of
-their open bins with other such partitions and pack these again. Full pieces
-are sequences of their own and take no part.
+their open bins with other such partitions and pack these again, round by
+round, until a round saves no bin. Each piece carries the bins and the bound of
+the partition that packed it last, so every remaining gap can be seen. Full
+pieces are sequences of their own and take no part.
 
 Edge cases: a null or empty text is one piece holding only the end token;
 repeated ids are separate documents; empty tables give empty results; long
@@ -30,7 +32,6 @@ CAPACITY = 1024
 END = 2
 #: Pieces that one packing partition gets, about.
 PARTITION_PIECES = 8_000
-ROUNDS = 3
 #: Fixed value: the splitting pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -62,11 +63,11 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
 
 
 class TextTokenizer:
-    """Token ids of whole texts under a vocabulary file of ``tokenizers``, special tokens taken as ordinary text.
+    """Token ids of whole texts, those that ``tokenizers`` gives for a vocabulary file by default, without template tokens.
 
     Byte-level files are run by the faster merge loop of tiktoken, which gives
-    the same ids (tested over all code points); other files, and texts that it refuses, by
-    ``tokenizers``.
+    the same ids (tested over all code points); other files, texts that it refuses,
+    and texts with the literal of an added token (a token of its own) by ``tokenizers``.
     """
 
     def __init__(self, path: str) -> None:
@@ -74,10 +75,11 @@ class TextTokenizer:
         if ranks := byte_ranks(path):
             import tiktoken
 
+            self.added = tuple(t["content"] for t in json.loads(Path(path).read_text()).get("added_tokens") or ())
             self.merge = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.merge:
+        if self.merge and not any(t in text for t in self.added):
             # its splitter refuses runs of white space of about a million characters
             with contextlib.suppress(ValueError):
                 return self.merge.encode_to_numpy(text, disallowed_special=())
@@ -85,7 +87,6 @@ class TextTokenizer:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.path)
-            self.whole.encode_special_tokens = True
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -162,52 +163,55 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.nda
     return bins
 
 
-def _packer(r: int, capacity: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+def _packer(r: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
     """Packs one partition in round ``r``; ``_done`` marks the pieces of final bins."""
 
     def run(frame: pa.Table) -> pa.Table:
         frame = frame.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = frame["length"].to_numpy()
         bins = best_fit_decreasing(lengths, capacity)
-        used = int(bins.max()) + 1
+        used, bound = int(bins.max()) + 1, lower_bound(lengths, capacity)
         load = np.bincount(bins, lengths, used).astype(np.int64)
-        certified = used == lower_bound(lengths, capacity)
         order = np.argsort(bins, kind="stable")
         begin = np.concatenate([[0], np.cumsum(load)])[:-1]
         offset = np.empty(len(bins), np.int64)
         offset[order] = np.cumsum(lengths[order]) - lengths[order] - begin[bins[order]]
-        number = (r << 60) + (frame["_part"][0].as_py() << 28) + bins
+        number = (r << 54) + (frame["_part"][0].as_py() << 30) + bins
         out = frame.drop_columns("_part")
-        for name, values in (("sequence_id", number), ("offset", offset), ("_done", certified | last | (load[bins] == capacity))):
+        for name, values in (("sequence_id", number), ("offset", offset), ("bins", np.full(len(bins), used)), ("bound", np.full(len(bins), bound)), ("_done", (used == bound) | (load[bins] == capacity))):
             out = out.append_column(name, pa.array(values))
         return out
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """Add sequence_id and offset to ``pieces`` (doc_id, piece, start, length, ids_crc32).
+def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
+    """Add sequence_id, offset, bins and bound to ``pieces`` (doc_id, piece, start, length, ids_crc32).
 
     Each round packs partitions of about ``partition_pieces`` items. A partition
     that meets its lower bound is certified and done. Any other one keeps its
     full bins and gives the contents of the rest to the next round, where
-    partitions with gaps meet in new partitions, fewer of them.
+    partitions with gaps meet in new partitions, fewer of them. A round that needs as many
+    bins as held its items before is the last. ``bins`` and ``bound`` are those of
+    the partition that packed the piece (both 1 for full pieces): equal where certified.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    full = pieces.where(F.col("length") == capacity).select(*columns, (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    one = F.lit(1).cast("long")
+    full = pieces.where(F.col("length") == capacity).select(*columns, (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("bins"), one.alias("bound"))
     rest = pieces.where(F.col("length") < capacity).select(*columns)
-    n = rest.count()
-    out = full
-    for r in range(rounds):
+    n, before, out, r = rest.count(), None, full, 0
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, bins long, bound long, _done boolean"
+    while n:
         parts = max(1, -(-n // partition_pieces))
         deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(r)), F.lit(parts)).cast("long")
-        schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, _done boolean"
-        packed = materialise(rest.withColumn("_part", deal).groupBy("_part").applyInArrow(_packer(r, capacity, r == rounds - 1), schema), f"pack{r}")
+        packed = materialise(rest.withColumn("_part", deal).groupBy("_part").applyInArrow(_packer(r, capacity), schema), f"pack{r}")
+        # a bin's first piece stands for it
+        open_ = ~F.col("_done")
+        n, used, left = packed.agg(F.count_if(open_), F.count_if(F.col("offset") == 0), F.count_if(open_ & (F.col("offset") == 0))).first()
+        if before is not None and used >= before:
+            return out.unionByName(packed.drop("_done"))
         out = out.unionByName(packed.where("_done").drop("_done"))
-        rest = packed.where("NOT _done").select(*columns)
-        n = rest.count()
-        if not n:
-            break
+        rest, before, r = packed.where(open_).select(*columns), left, r + 1
     return out
 
 
