@@ -12,7 +12,8 @@ item's word count in word edit distance: items of up to four words match exactly
    Hamming distance: the walk emits the current word at every step and moves on
    when a random bit of (step, word) says so.
 3. Repeated bit-sampling LSH over the embeddings (several walks, several
-   samples each) proposes (window, item) pairs.
+   tables each, several sampled symbols in a table's key) proposes (window,
+   item) pairs.
 4. Every proposal is verified by the exact edit distance of the item to the
    best stretch around the window; where windows run together, the words before
    and after a stretch found are searched again until none is left.
@@ -43,7 +44,8 @@ from palimpsest.llm._common import slices, table, words
 MAX_EDITS = 0.2
 #: Items of fewer words are compared with every window around a segment hit, without walk and sampling.
 SHORT = 8
-WALKS, SAMPLES, SAMPLED = 5, 8, 1
+#: Walks, tables of each walk, and symbols in a table's key. :func:`recall` gives what they reach for a share of unchanged symbols.
+WALKS, SAMPLES, SAMPLED = 6, 16, 2
 STEPS_PER_WORD = 3
 #: Bytes of benchmark text that one block holds.
 BLOCK_BYTES = 4_000_000
@@ -125,6 +127,22 @@ def _steps(n: int) -> int:
     return min(STEPS_PER_WORD * n, int(1.6 * n) + 1)
 
 
+def recall(same: float, walks: int = WALKS, samples: int = SAMPLES, sampled: int = SAMPLED) -> float:
+    """Chance that a window meets its item in some table, if each walk leaves a share ``same`` of the symbols unchanged."""
+    return 1 - (1 - same**sampled) ** (walks * samples)
+
+
+def proposed(items: Items, n: int, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(window, item) pairs that the tables for items of ``n`` words propose for windows codes[start:end], table by table."""
+    walk_now, embedded, out = -1, None, []
+    for walk, steps, keys, who in items.tables[n]:
+        if walk != walk_now:
+            walk_now, embedded = walk, cgk(codes, start, end, _steps(n), walk, items.base)
+        a, b = _matches(_key(embedded, steps, items.base), keys)
+        out.append((a, who[b]))
+    return out
+
+
 def _key(embedded: np.ndarray, steps: np.ndarray, base: int) -> np.ndarray:
     key = np.zeros(len(embedded), np.int64)
     for s in steps:
@@ -280,12 +298,8 @@ def find_leaks(offsets: np.ndarray, codes: np.ndarray, items: Items) -> list[tup
         for lo in range(0, len(start), WINDOW_CHUNK):
             s, r = start[lo : lo + WINDOW_CHUNK], row[lo : lo + WINDOW_CHUNK]
             end = np.minimum(s + n, offsets[r + 1])
-            walk_now, embedded = -1, None
-            for walk, steps, keys, who in items.tables[n]:
-                if walk != walk_now:
-                    walk_now, embedded = walk, cgk(codes, s, end, _steps(n), walk, items.base)
-                a, b = _matches(_key(embedded, steps, items.base), keys)
-                proposals.update(zip(r[a].tolist(), who[b].tolist(), s[a].tolist(), strict=True))
+            for a, b in proposed(items, n, codes, s, end):
+                proposals.update(zip(r[a].tolist(), b.tolist(), s[a].tolist(), strict=True))
     out, span = [], None
     runs: list[list[int]] = []
     for r, k, s in sorted(proposals):  # neighbouring windows of one item are verified as one stretch
