@@ -198,8 +198,15 @@ def _features(stats: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([np.asarray(stats[f], np.float64) for f in FEATURES], axis=1)
 
 
+def one_row_per_id(docs: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of ``keys``, where ids are repeated always the same: that of the smallest hash."""
+    rest = [c for c in docs.columns if c not in keys]
+    first = docs.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_first"))
+    return first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most ``limit`` labelled rows of ``docs`` with one label per document, chosen by a hash of the id.
+    """At most ``limit`` labelled rows of ``docs`` with one label and one row per document, chosen by a hash of the id.
 
     Conflicting repeated labels count as the smallest. The id list has at most
     ``limit`` rows, so broadcasting it is safe.
@@ -209,7 +216,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
         .groupBy("doc_id").agg(F.min(label).cast("int").alias("_label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return docs.join(F.broadcast(chosen), "doc_id")
+    return one_row_per_id(docs.join(F.broadcast(chosen), "doc_id"), "doc_id", "_label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> FlatForest | None:
@@ -222,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> FlatFore
             yield pa.RecordBatch.from_arrays([b.column("_label"), *(pa.array(np.asarray(s[f], np.float64)) for f in names)], ["_label", *names])
 
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "quality", limit).select("_label", "text")
-    rows = sample.mapInArrow(run, "_label int, " + ", ".join(f"{f} double" for f in names)).limit(2 * limit).toPandas()
+    rows = sample.mapInArrow(run, "_label int, " + ", ".join(f"{f} double" for f in names)).toPandas()
     rows = rows.sort_values(["_label", *names])
     y = rows["_label"].to_numpy(float)
     if len(np.unique(y)) < 2:
