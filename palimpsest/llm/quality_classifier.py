@@ -1,14 +1,16 @@
 """Operator 4, quality classifier: co-training of a text view and a page-metadata view.
 
 The text view reads the content: hashed byte trigrams of the whole text. The
-metadata view never reads words: language, source, declared length and the
-page's layout (lines, their lengths, blank lines). Both are logistic
-regressions. Over several rounds each view labels the unlabelled documents it
-is most sure of for the other view. On held-out labelled rows each view is then
-calibrated and a combiner is fitted; it scores all documents.
+metadata view never reads the text: language, source and declared length,
+each by itself. Both are logistic regressions. In each round both
+views score all unlabelled documents. Those that a view is sure of are
+labelled for the other view, which is fitted on its labelled rows and a bounded
+sample of these. On held-out labelled rows each view is then calibrated and a
+combiner is fitted; it scores all documents.
 
-Training uses bounded samples (parameters): features are computed on the
-executors and only fixed-size vectors of the samples reach the driver.
+Fitting uses bounded samples of labelled and pseudo-labelled rows (parameters):
+features are computed on the executors and only fixed-size vectors of the
+samples reach the driver. Which documents are sure is decided over all of them.
 
 Edge cases: null or empty texts have zero trigrams and are judged by the
 metadata and the intercept; null metadata is a value of its own; repeated rows
@@ -21,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from palimpsest.llm._common import release_memory, slices, table
-from palimpsest.llm.quality_rules import labelled_sample
+from palimpsest.llm._common import discard, materialise, release_memory, slices, table
+from palimpsest.llm.quality_rules import labelled_sample, one_row_per_id
 
-#: Bounds of the training samples.
-LABELLED_ROWS, POOL_ROWS = 4_000, 4_000
-ROUNDS, CONFIDENT = 4, 0.97
-#: At most this share of the pool is labelled per class and round.
-SHARE = 0.1
+#: Bounds of the samples fitted on: labelled rows, and pseudo-labelled rows of one view, class and round.
+LABELLED_ROWS, TOLD_ROWS = 4_000, 400
+ROUNDS, CONFIDENT = 3, 0.97
 DIM_BITS = 11
 #: Measures of spread, and grams added to each text's total.
 SPREAD, PRIOR = 3, 60
-META = 8 + 32 + 9
+#: Languages, sources and steps of declared length (a step is a quarter of an octave).
+LANGS, SOURCES, STEPS = 16, 64, 80
+META = LANGS + SOURCES + STEPS + 3
 
 
 def text_features(texts: pa.Array) -> np.ndarray:
@@ -70,18 +73,16 @@ def text_features(texts: pa.Array) -> np.ndarray:
 
 
 def meta_features(batch: pa.RecordBatch) -> np.ndarray:
-    """Language and source as hashed indicators, then lengths and layout."""
+    """Language, source and step of declared length as (hashed) indicators, then the length itself."""
     n = batch.num_rows
     out = np.zeros((n, META), np.float32)
-    texts, declared = batch.column("text").to_pylist(), batch.column("_q_chars").to_pylist()
-    for k, (lang, source) in enumerate(zip(batch.column("_q_lang").to_pylist(), batch.column("_q_source").to_pylist(), strict=True)):
-        out[k, zlib.crc32(repr(lang).encode()) % 8] = 1
-        out[k, 8 + zlib.crc32(repr(source).encode()) % 32] = 1
-        lengths = np.fromiter((len(x) for x in (texts[k] or "").split("\n")), np.float64)
-        chars = float(len(texts[k] or "") if declared[k] is None else max(declared[k], 0))
-        mean = lengths.mean()
-        small = np.log1p(chars)
-        out[k, 40:] = (small / 10, (small / 10) ** 2, np.log1p(len(lengths)) / 5, np.log1p(mean) / 6, np.log1p(lengths.max()) / 8, lengths.std() / (mean + 1), (lengths == 0).mean(), float(chars < 100), float(chars < 400))
+    columns = (batch.column(f"_q_{c}").to_pylist() for c in ("lang", "source", "chars"))
+    for k, (lang, source, declared) in enumerate(zip(*columns, strict=True)):
+        out[k, zlib.crc32(repr(lang).encode()) % LANGS] = 1
+        out[k, LANGS + zlib.crc32(repr(source).encode()) % SOURCES] = 1
+        small = np.log1p(max(declared or 0, 0))
+        out[k, LANGS + SOURCES + (0 if declared is None else min(1 + int(4 * small / np.log(2)), STEPS - 1))] = 1
+        out[k, -3:] = small / 10, (small / 10) ** 2, declared is None
     return out
 
 
@@ -121,35 +122,35 @@ class CoTrained:
 TEXT_SCALE, META_SCALE = 10.0, 2.0
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """Rounds of pseudo-labels between the views; every third labelled row is held out for calibration."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def held_out(y: np.ndarray) -> np.ndarray:
+    """Every third labelled row is held out for calibration, where both parts have two classes."""
     held = np.arange(len(y)) % 3 == 0
     if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
         held = np.zeros(len(y), bool)
-    fit_y = y[~held]
-    # what each view has been told by the other: label of pool rows, nan for none
-    told = [np.full(len(ut), np.nan), np.full(len(ut), np.nan)]
-    views = [(xt[~held], ut, TEXT_SCALE), (xm[~held], um, META_SCALE)]
-    added, models = [], []
-    for r in range(rounds + 1):
-        models = []
-        for (x, u, scale), t in zip(views, told, strict=True):
-            known = ~np.isnan(t)
-            weight = np.concatenate([np.ones(len(x)), np.full(known.sum(), 0.3)])
-            models.append(logistic(np.concatenate([x, u[known]]), np.concatenate([fit_y, t[known]]), weight, scale=scale))
-        if r == rounds or not len(ut):
-            break
-        count = 0
-        for me, other in ((0, 1), (1, 0)):
-            u, (w, b) = views[me][1], models[me]
-            p = 1 / (1 + np.exp(-np.clip(u @ w.astype(u.dtype) + b, -30, 30)))
-            free = np.isnan(told[other])
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                pick = np.flatnonzero(free & (sure >= CONFIDENT))
-                pick = pick[np.argsort(-sure[pick], kind="stable")][: max(1, int(SHARE * len(u)))]
-                told[other][pick] = label
-                count += len(pick)
-        added.append(count)
+    return held
+
+
+#: What a view has been told: features and labels of pseudo-labelled rows.
+Told = list[tuple[np.ndarray, np.ndarray]]
+
+
+def fit_views(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, told: tuple[Told, Told]) -> list[tuple[np.ndarray, float]]:
+    """Both views on their labelled rows and what they have been told."""
+    held, out = held_out(y), []
+    for x, extra, scale in ((xt, told[0], TEXT_SCALE), (xm, told[1], META_SCALE)):
+        n = sum(len(t) for _, t in extra)
+        weight = np.concatenate([np.ones((~held).sum()), np.full(n, 0.3)])
+        out.append(logistic(np.concatenate([x[~held], *(u for u, _ in extra)]), np.concatenate([y[~held], *(t for _, t in extra)]), weight, scale=scale))
+    return out
+
+
+def combine(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, models: list[tuple[np.ndarray, float]], added: tuple[int, ...]) -> CoTrained:
+    """Calibration of the views and the combiner, on held-out rows."""
+    held = held_out(y)
     if not held.any():
         held[:] = True
     cal, zs = [], []
@@ -159,7 +160,7 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um:
         cal.append((float(ws[0]) / 4, o))
         zs.append(np.clip(z * ws[0] / 4 + o, -20, 20))
     combiner = logistic(np.stack(zs, axis=1) / 4, y[held], steps=400)
-    return CoTrained(models[0], models[1], tuple(cal), (combiner[0] / 4, combiner[1]), tuple(added))  # type: ignore[arg-type]
+    return CoTrained(models[0], models[1], tuple(cal), (combiner[0] / 4, combiner[1]), added)  # type: ignore[arg-type]
 
 
 def _inputs(docs: DataFrame, *more: str) -> DataFrame:
@@ -185,19 +186,49 @@ def _vectors(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t[order], m[order], np.array([r[2] for r in rows], float)[order]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED_ROWS, pool: int = POOL_ROWS) -> CoTrained | None:
-    """Co-trained views from at most ``labelled`` + ``pool`` documents; None without two classes."""
+def _view_scores(docs: DataFrame, models: list[tuple[np.ndarray, float]]) -> DataFrame:
+    """doc_id, pt, pm: each document's probability by both views."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            p = [_sigmoid(x @ w.astype(x.dtype) + c) for x, (w, c) in zip((text_features(b.column("text")), meta_features(b)), models, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v.astype(np.float64)) for v in p)], ["doc_id", "pt", "pm"])
+
+    return _inputs(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, pt double, pm double")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED_ROWS, told_rows: int = TOLD_ROWS, rounds: int = ROUNDS) -> CoTrained | None:
+    """Co-trained views; None without two classes. At most ``labelled`` rows, and ``told_rows`` for each round, view and class, are fitted on."""
     have = set(docs.columns)
     slim = docs.select("doc_id", *[c for c in ("text", "lang", "source", "n_chars") if c in have])
-    sample = labelled_sample(slim, labels, label, labelled).dropDuplicates(["doc_id", "text"])
+    sample = labelled_sample(slim, labels, label, labelled)
     xt, xm, y = _vectors(_inputs(sample, "_label"))
     if len(np.unique(y)) < 2:
         return None
-    # the pool: documents without a label, chosen by a hash of the id
-    chosen = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    ut, um, _ = _vectors(_inputs(slim.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).withColumn("_label", F.lit(0)), "_label"))
-    model = co_train(xt, xm, y, ut, um)
-    del xt, xm, ut, um
+    told: tuple[Told, Told] = ([], [])
+    models, added = fit_views(xt, xm, y, told), []
+    known = labels.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    for r in range(rounds):
+        # every unlabelled document is scored; of those a view is sure of, the first by a hash of the id are taken
+        scored = materialise(_view_scores(slim, models).where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti"), "views")
+        order = F.xxhash64("doc_id", F.lit(r))
+        count, parts = 0, []
+        for view, p in enumerate(("pt", "pm")):
+            for value, sure in ((1, F.col(p) >= CONFIDENT), (0, F.col(p) <= 1 - CONFIDENT)):
+                parts.append(scored.where(sure).select("doc_id").orderBy(order, "doc_id").limit(told_rows).select("doc_id", F.lit(2 * view + value).alias("_label")))
+        chosen = reduce(DataFrame.unionByName, parts).dropDuplicates(["doc_id", "_label"])
+        ut, um, what = _vectors(_inputs(one_row_per_id(slim.join(F.broadcast(chosen), "doc_id"), "doc_id", "_label"), "_label"))
+        for view in (0, 1):
+            mine = what // 2 == view
+            count += int(mine.sum())
+            told[1 - view].append(((um if view == 0 else ut)[mine], (what % 2)[mine]))
+        discard(scored)
+        added.append(count)
+        models = fit_views(xt, xm, y, told)
+        if not count:
+            break
+    model = combine(xt, xm, y, models, tuple(added))
+    del xt, xm, told
     release_memory()
     return model
 

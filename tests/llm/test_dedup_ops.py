@@ -317,6 +317,29 @@ def test_cgk_maps_edits_to_hamming():
     assert share(near) > 0.6 > 0.2 > share(far)
 
 
+def test_recall_of_the_tables_alone():
+    """Windows that need no verification to be right: items with as many random edits as are allowed, every start shifted by no more than one."""
+    rng = random.Random(11)
+    voc = [f"v{k}" for k in range(2000)]
+    items = [[rng.choice(voc) for _ in range(n)] for n in (8, 10, 15, 20, 30, 40, 60) for _ in range(40)]
+    block = decontamination.build_items([(k, " ".join(w)) for k, w in enumerate(items)])
+    number = {w: k for k, w in enumerate(block.vocabulary.to_pylist())}
+    found = total = wrong = 0
+    for k, item in enumerate(items):
+        for _ in range(5):
+            w = list(item)
+            for _ in range(decontamination.edits_allowed(len(item))):
+                kind, p = rng.randrange(3), rng.randrange(len(w))
+                w[p : p + (kind < 2)] = [rng.choice(voc)] if kind else []
+            codes = np.array([number.get(x, -1) for x in w + ["post"] * 30], np.int64)
+            hits = {int(x) for _, b in decontamination.proposed(block, len(item), codes, np.array([0]), np.array([len(item)])) for x in b}
+            found, total, wrong = found + (k in hits), total + 1, wrong + len(hits - {k})
+    assert found / total >= 0.99
+    # a table of one symbol would propose several of the 40 items of a length each time
+    assert wrong / total < 0.5
+    assert decontamination.recall(0.3) > 0.99
+
+
 # ---- op4
 
 
