@@ -3,17 +3,21 @@
 An archive that is one gzip stream over all its records cannot be read from
 the middle. The normaliser inflates such a stream once, in bounded chunks,
 finds the records, writes each one as a gzip member of its own and notes
-offset and length of every member in an index, by which single records are
-read without touching the rest.
+offset and length of every member in a sidecar index, a table of its own, by
+which single records are read without touching the rest.
 
 The query writes one record per page into archives of this kind (a table of
 archives in the shared folder), normalises them, and reads every record back
 through the index.
 
+Skew: digests that more than ``HOT_SHARE`` of the repeated pages have are
+broadcast (there are few), so their pages stay where they are.
+
 Edge cases: a null or empty payload is a record of length 0; repeated payloads
-of 1000 bytes or more are revisits of the record with the largest page id (one
-response even if ids repeat); an empty table gives no archives; archives are
-rolled at a fixed size, and a larger record has an archive to itself.
+of 1000 bytes or more are revisits of the record with the largest page id
+(where rows share that id, each of them is a response; pages without an id
+revisit it); an empty table gives no archives; archives are rolled at a fixed size,
+and a larger record has an archive to itself.
 """
 
 from __future__ import annotations
@@ -29,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import materialise, slices, table
+from palimpsest.llm._common import discard, join_by_weight, materialise, slices, table
 
 #: Uncompressed bytes after which a new archive begins.
 ROLL_BYTES = 8_000_000
 REVISIT_BYTES = 1000
 CHUNK = 1 << 16
 LEVEL = 6
+#: Date of the records where the pages tell none.
+UNDATED = "1970-01-01T00:00:00Z"
+#: Fixed value: what a revisit by equal payload is called.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD_END = b"\r\n\r\n"
 #: A header block longer than this is refused as damaged.
 HEAD_LIMIT = 1 << 20
@@ -151,7 +159,7 @@ def read_member(archive: bytes, offset: int, length: int) -> tuple[dict[str, str
     return fields, data[end + 4 : end + 4 + int(fields["content-length"])]
 
 
-def write_archives(records_df: DataFrame) -> DataFrame:
+def write_archives(records_df: DataFrame, date: str = UNDATED) -> DataFrame:
     """Archives (archive, content) from rows of page_id, url, payload, digest, refers_to: each a single gzip stream.
 
     A record with refers_to is a revisit and carries the digest and size of the payload instead of the payload.
@@ -175,12 +183,15 @@ def write_archives(records_df: DataFrame) -> DataFrame:
                 head = {
                     "WARC-Type": "response" if r["refers_to"] is None else "revisit",
                     "WARC-Record-ID": f"<urn:page:{page}>",
+                    "WARC-Date": date,
                     "WARC-Target-URI": (r["url"] or "").replace("\r", "%0D").replace("\n", "%0A"),
                     "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(r["digest"])).decode(),
                     "X-Payload-Length": str(len(r["payload"])),
                 }
-                if r["refers_to"] is not None:
-                    head["WARC-Refers-To"] = f"<urn:page:{r['refers_to']}>"
+                if r["refers_to"] is None:
+                    head["Content-Type"] = "text/html"
+                else:
+                    head |= {"WARC-Refers-To": f"<urn:page:{r['refers_to']}>", "WARC-Profile": PROFILE}
                 data = warc_record(head, r["payload"] if r["refers_to"] is None else b"")
                 out.append(z.compress(data))
                 size += len(data)
@@ -205,8 +216,14 @@ def normalise_archives(archives: DataFrame) -> DataFrame:
     return archives.mapInArrow(run, "archive string, content binary, index array<struct<number:long,offset:long,length:long,record_id:string,uri:string>>")
 
 
-def read_archives(normalised: DataFrame) -> DataFrame:
-    """Every record of normalised archives, each taken by its index entry; payload checked against its digest."""
+def sidecar(normalised: DataFrame) -> DataFrame:
+    """The index as a table: archive, number, offset, length, record_id, uri."""
+    return normalised.select("archive", F.explode("index").alias("m")).select("archive", "m.*")
+
+
+def read_archives(archives: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Every record that the index (by default the archives' own) lists, taken from its archive by its entry; payload checked against its digest."""
+    entries = (sidecar(archives) if index is None else index).groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "record_id"))).alias("index"))
 
     def page(text: str | None) -> int | None:
         inner = (text or "").removeprefix("<urn:page:").removesuffix(">")
@@ -229,7 +246,7 @@ def read_archives(normalised: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return normalised.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long")
+    return archives.select("archive", "content").join(entries, "archive").select("archive", "content", "index").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long")
 
 
 def mark_revisits(pages: DataFrame) -> DataFrame:
@@ -240,16 +257,19 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     base = base.withColumn("digest", F.sha1("payload"))
-    heads = base.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("_head"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    refers = F.when((F.octet_length("payload") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("_head")), F.col("_head"))
-    return base.join(heads, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    large = F.octet_length("payload") >= REVISIT_BYTES
+    heads = base.where(large).groupBy("digest").agg(F.max("page_id").alias("_head"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # small pages of a digest are no part of its group: size and digest go together
+    refers = F.when(large & ~F.col("page_id").eqNullSafe(F.col("_head")), F.col("_head"))
+    return join_by_weight(base, materialise(heads, "heads"), ["digest"], "_n", outer=True).select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to monolithic archives, normalised, and read back by the index."""
     archives = materialise(write_archives(mark_revisits(table(spark, sf_dir, "pages"))), "warc")
     normalised = materialise(normalise_archives(archives), "warcnorm")
-    return read_archives(normalised).drop("archive", "offset")
+    discard(archives)
+    return read_archives(normalised, materialise(sidecar(normalised), "warcindex")).drop("archive", "offset")
 
 
 OP2_SQL = """
