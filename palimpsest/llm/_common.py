@@ -76,20 +76,19 @@ def discard(*frames: DataFrame) -> None:
 HOT_SHARE = 1 / 1000
 
 
-def join_by_weight(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Inner join of ``left`` with ``right``, whose keys are unique and whose column ``weight`` counts the rows of ``left`` with that key.
+def join_by_weight(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int | None = None, outer: bool = False) -> DataFrame:
+    """Join of ``left`` with ``right`` (inner, or left outer), whose keys are unique and whose column ``weight`` counts the rows of ``left`` with that key.
 
-    Hot keys, at most ``1 / HOT_SHARE`` of them as their weights add up to no
-    more than all rows, are broadcast, so that their rows stay where they are;
-    the others are shuffled. Both must be tables that can be read again.
+    Hot keys, at most ``1 / HOT_SHARE`` of them as the weights add up to no
+    more than ``total`` rows, are broadcast, so that their rows stay where they are;
+    the others are shuffled. Where no total is given it is counted, and both must be tables that can be read again.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) > max(1, int(total * HOT_SHARE))
     few = F.broadcast(right.where(hot))
-    if right.where(hot).isEmpty():
-        return left.join(right.drop(weight), on)
-    spread = left.join(few.select(*on), on, "left_anti").join(right.where(~hot).drop(weight), on)
-    return left.join(few.drop(weight), on).unionByName(spread)
+    cold = left.join(few.select(*on), on, "left_anti").join(right.where(~hot).drop(weight), on, "left" if outer else "inner")
+    return left.join(few.drop(weight), on).unionByName(cold)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

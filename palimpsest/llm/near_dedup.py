@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import materialise, slices, table, words
+from palimpsest.llm._common import discard, join_by_weight, materialise, slices, table, words
 
 SHINGLE = 5
 #: Signature length, trees, levels, and the size up to which a node is compared exhaustively.
@@ -207,25 +207,30 @@ def candidate_edges(classes: DataFrame, trees: int = TREES, levels: int = LEVELS
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """id, root (smallest id of the component) for every id in ``edges`` (src, dst), by alternating large and small stars."""
+    """id, root (smallest id of the component) for every id in ``edges`` (src, dst), by alternating large and small stars.
+
+    Centres of more than ``HOT_SHARE`` of all edges are broadcast instead of shuffled; there are few.
+    """
     both = lambda e: e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    sums = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first())
     e = materialise(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    before = None
+    before, now = None, sums(e)
     for _ in range(rounds):
+        total = 2 * now[0]
         # large star: neighbours above a node go to the smallest of its neighbourhood
         near = both(e)
-        low = near.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        big = near.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
+        low = near.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n")).select("src", F.least("src", "m").alias("m"), "n")
+        big = join_by_weight(near.where("dst > src"), low, ["src"], "n", total).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
         # small star: a node and its neighbours below go to the smallest of them
-        down = big.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        low = down.groupBy("src").agg(F.min("dst").alias("m"))
-        small = down.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").unionByName(low.select("src", F.col("m").alias("dst"))).distinct()
-        e = materialise(small, "edges")
+        down = materialise(big.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")), "stars")
+        low = down.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_by_weight(down, low, ["src"], "n", total).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").unionByName(low.select("src", F.col("m").alias("dst"))).distinct()
+        last, e = e, materialise(small, "edges")
+        discard(last, down)
         # all stars have one centre each when the edges stop changing: compared by a sum that any change alters
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
+        before, now = now, sums(e)
         if now == before:
             break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     leaves = e.groupBy("src").agg(F.min("dst").alias("root")).select(F.col("src").alias("id"), "root")
@@ -373,11 +378,13 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     sketched, rooted = rooted_classes(docs, percent, SHINGLE)
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
     first = sketched.where("sid IS NOT NULL").groupBy("sid").agg(F.min(row).alias("first"))
-    chosen = rooted.select("sid", "root").join(first, "sid").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
-    wordless = sketched.where("sid IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    kept = chosen.unionByName(wordless)
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"], F.lit(1)) == kept["_key"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    chosen = rooted.select("sid", "root").join(first, "sid").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
+    wordless = sketched.where("sid IS NULL").select("doc_id", "text_key")
+    # rows are known by two hashes of id and text, so that the texts move once
+    marks = lambda i, t: [F.xxhash64(i, t, F.lit(k)).alias(f"_near{k}") for k in (1, 2)]
+    kept = chosen.unionByName(wordless).select(*marks("doc_id", "text_key")).distinct()
+    rows = docs.select("*", *marks(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(1))))
+    return rows.join(kept, ["_near1", "_near2"], "left_semi").dropDuplicates(["_near1", "_near2"]).drop("_near1", "_near2")
 
 
 def op5_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
