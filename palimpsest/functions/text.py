@@ -1,4 +1,4 @@
-"""Scalar text functions: identities, slugs, percent coding, excerpts, and wikitext rendering."""
+"""Scalar text functions: identities, slugs, percent coding and excerpts."""
 
 from __future__ import annotations
 
@@ -129,102 +129,6 @@ def base36_sha1(text: Column) -> Column:
     return run(F.sha1(text))
 
 
-_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "ndash": "–", "mdash": "—", "hellip": "…"}
-
-
-def _entity(m: re.Match) -> str:
-    name = m[1]
-    if name.startswith("#"):
-        try:
-            return chr(int(name[2:], 16) if name[1:2] in "xX" else int(name[1:]))
-        except (ValueError, OverflowError):
-            return m[0]
-    return _ENTITIES.get(name, m[0])
-
-
-def _drop_nested(text: str, opening: str, closing: str) -> str:
-    """``text`` without balanced stretches; an unclosed opening stays as it is."""
-    out, at = [], 0
-    while (k := text.find(opening, at)) >= 0:
-        depth, end = 0, k
-        while True:
-            o, c = text.find(opening, end), text.find(closing, end)
-            if c < 0:
-                return "".join(out) + text[at:]
-            if 0 <= o < c:
-                depth, end = depth + 1, o + len(opening)
-            else:
-                depth, end = depth - 1, c + len(closing)
-                if not depth:
-                    break
-        out.append(text[at:k])
-        at = end
-    return "".join(out) + text[at:]
-
-
-def render_inline(text: str, markdown: bool = False) -> str:
-    """Inline markup as plain text or Markdown: templates, comments, references, links, emphasis, entities."""
-    text = re.sub(r"<!--.*?(?:-->|\Z)", "", text, flags=re.S)
-    text = re.sub(r"<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "", text, flags=re.S)
-    text = _drop_nested(text, "{{", "}}")
-    text = re.sub(r"\[\[(?:File|Image|Category):[^\[\]]*(?:\[\[[^\]]*\]\][^\[\]]*)*\]\]", "", text, flags=re.I)
-    link = (lambda m: f"[{m[2] or m[1]}]({m[1].strip().replace(' ', '_')})") if markdown else (lambda m: m[2] or m[1])
-    text = re.sub(r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]", link, text)
-    web = (lambda m: f"[{m[2] or m[1]}]({m[1]})") if markdown else (lambda m: m[2] or m[1])
-    text = re.sub(r"\[((?:https?:)?//[^\s\]]+)(?:\s+([^\]]*))?\]", web, text)
-    bold, both, slant = ("**", "***", "*") if markdown else ("", "", "")
-    for marks, to in (("'''''", both), ("'''", bold), ("''", slant)):
-        text = re.sub(f"{marks}(.+?){marks}", rf"{to}\1{to}", text)
-    text = re.sub(r"<br\s*/?>", "\n", text)
-    text = re.sub(r"</?[A-Za-z][^<>]*>", "", text)
-    return re.sub(r"&(#?\w{1,10});", _entity, text)
-
-
-def render_wikitext(source: str | None, markdown: bool = False) -> str | None:
-    """Readable text or Markdown of a page's source: headings, lists, preformatted lines, paragraphs; tables are left out."""
-    if source is None:
-        return None
-    source = _drop_nested(re.sub(r"<!--.*?(?:-->|\Z)", "", source, flags=re.S), "{|", "|}")
-    out: list[str] = []
-    paragraph: list[str] = []
-
-    def flush() -> None:
-        if paragraph:
-            text = re.sub(r"[ \t]+", " ", render_inline("\n".join(paragraph), markdown).replace("\n", " ")).strip()
-            if text:
-                out.append(text)
-            paragraph.clear()
-
-    for line in source.split("\n"):
-        if m := re.fullmatch(r"(={1,6})\s*(.*?)\s*\1\s*", line):
-            flush()
-            out.append(("#" * len(m[1]) + " " if markdown else "") + render_inline(m[2], markdown))
-        elif m := re.match(r"([*#:;]+)\s*(.*)", line):
-            flush()
-            sign = ("1." if m[1][-1] == "#" else "-") if m[1][-1] in "*#" else ""
-            text = render_inline(m[2], markdown).strip()
-            out.append("  " * (len(m[1]) - 1) + (f"{sign} {text}" if sign else text))
-        elif line.startswith(" ") and line.strip():
-            flush()
-            out.append(("    " if markdown else "") + render_inline(line[1:]))
-        elif not line.strip():
-            flush()
-        else:
-            paragraph.append(line)
-    flush()
-    return "\n".join(out)
-
-
-@F.pandas_udf(StringType())
-def wikitext_to_text(source: pd.Series) -> pd.Series:
-    return source.map(render_wikitext)
-
-
-@F.pandas_udf(StringType())
-def wikitext_to_markdown(source: pd.Series) -> pd.Series:
-    return source.map(lambda s: render_wikitext(s, True))
-
-
 def headings(source: Column) -> Column:
     """Heading texts of a page's source, in order."""
     return F.transform(F.regexp_extract_all(source, F.lit(r"(?m)^={1,6}[ \t]*(.+?)[ \t]*={1,6}[ \t]*$"), 1), lambda h: F.trim(h))

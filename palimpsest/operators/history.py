@@ -33,7 +33,7 @@ def adjacency(revisions: DataFrame, page: str, time: str, ident: str) -> DataFra
 
 
 def last_n(revisions: DataFrame, page: str, time: str, ident: str, n: int) -> DataFrame:
-    """The ``n`` newest revisions of each page, with their rank from 1; ranks over the limit are dropped before the shuffle."""
+    """The ``n`` newest revisions of each page, with their rank from 1; ranks over the limit are dropped before the shuffle (a window group limit)."""
     rank = F.row_number().over(Window.partitionBy(page).orderBy(*_newest_first(time, ident)))
     return revisions.withColumn("rank", rank).where(F.col("rank") <= n)
 
@@ -52,10 +52,22 @@ def parent_gaps(revisions: DataFrame, page: str, ident: str) -> DataFrame:
     return revisions.withColumn("parent_id", before).withColumn("chain_ok", F.coalesce(F.col(ident) == before + 1, F.col(ident) == 0))
 
 
-def budget_cut(objects: DataFrame, scope: str, order: str, size: str, budget: int) -> DataFrame:
-    """In each scope the objects, in order, whose running total stays within the budget."""
-    w = Window.partitionBy(scope).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return objects.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget)
+def budget_cut(objects: DataFrame, scope: str, order: str, size: str, budget: int, slices: int = 256) -> DataFrame:
+    """In each scope the objects, in order, whose running total stays within the budget.
+
+    A scope of any size is cut into slices of the order: sums of the slices come
+    first, small rows by which each slice knows what stands before it. Slices
+    that begin beyond the budget are dropped, and only the others are ordered within themselves.
+    """
+    ends = objects.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    lo, hi = int(ends["lo"] or 0), int(ends["hi"] or 0)
+    step = max(1, -(-(hi - lo + 1) // slices))
+    cut = objects.withColumn("_slice", F.floor((F.col(order) - lo) / step).cast("long"))
+    before = Window.partitionBy(scope).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(scope, "_slice").agg(F.sum(size).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    near = sums.where(F.col("_before") <= budget).select(scope, "_slice", "_before")
+    w = Window.partitionBy(scope, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(near, [scope, "_slice"]).withColumn("running", F.col("_before") + F.sum(size).over(w)).where(F.col("running") <= budget).drop("_slice", "_before")
 
 
 def recent(revisions: DataFrame, time: str, source: str, ident: str, limit: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def introduced(later: DataFrame, earlier: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``later`` whose keys ``earlier`` lacks."""
-    return later.join(earlier.select(*keys).distinct(), keys, "left_anti")
+    return later.join(earlier.select(*keys), keys, "left_anti")
 
 
 def merge_membership(current: DataFrame, resolved: DataFrame, key: str, keep_removed: bool = True) -> DataFrame:
@@ -30,15 +30,15 @@ def upsert_heads(state: DataFrame, changes: DataFrame, key: str, version: list[s
 
 def missing_references(rows: DataFrame, key: str, target: DataFrame, target_key: str, kind: str, ident: str) -> DataFrame:
     """A finding (kind, ident) for each row whose reference has no target."""
-    there = target.select(F.col(target_key).alias(key)).distinct()
+    there = target.select(F.col(target_key).alias(key))
     return rows.where(F.col(key).isNotNull()).join(there, key, "left_anti").select(F.lit(kind).alias("kind"), F.col(ident).cast("long").alias("ident"))
 
 
 def without_any(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """Rows that have no counterpart."""
-    return rows.join(others.select(key).distinct(), key, "left_anti")
+    return rows.join(others.select(key), key, "left_anti")
 
 
 def with_any(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """Rows that have a counterpart."""
-    return rows.join(others.select(key).distinct(), key, "left_semi")
+    return rows.join(others.select(key), key, "left_semi")

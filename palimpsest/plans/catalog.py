@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import schedule, text
+from palimpsest.functions import schedule, text, wikitext
 from palimpsest.operators import diff, graph, history, ledger, search, sets
 from palimpsest.streaming import sync
 
@@ -159,8 +159,8 @@ def unpacked_objects(spark, sf):
 
 
 @_register("""
-SELECT 'order-customer' AS kind, o_orderkey AS ident FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)
-UNION ALL SELECT 'line-order', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 11 <> 0)
+SELECT 'order-customer' AS kind, o_orderkey AS ident FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'line-order', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 """)
 def reference_findings(spark, sf):
     orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey")
@@ -179,11 +179,12 @@ def introduced_revisions(spark, sf):
 @_register("""
 SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN 'removed' ELSE 'active' END AS state,
   CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'removed' ELSE 'kept' END AS change
-FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) b ON a.c_custkey = b.c_custkey
+FROM (SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') a FULL JOIN (SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01') b ON a.c_custkey = b.c_custkey
 """)
 def membership_merge(spark, sf):
-    c = _t(spark, sf, "customer").select("c_custkey")
-    return sets.merge_membership(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0"), "c_custkey")
+    orders = _t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate")
+    cut = F.lit("1996-01-01").cast("timestamp")
+    return sets.merge_membership(orders.where(F.col("o_orderdate") < cut), orders.where(F.col("o_orderdate") >= cut), "c_custkey")
 
 
 @_register("SELECT o_custkey, o_orderdate, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -321,7 +322,7 @@ def committable_runs(spark, sf):
 
 @_register("""
 SELECT s_suppkey AS c_custkey, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN c_nationkey = s_nationkey THEN 'applied' ELSE 'stale' END AS outcome, c_nationkey AS actual
-FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON c_custkey = s_suppkey
+FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey
 """)
 def compare_and_swap(spark, sf):
     state = _t(spark, sf, "customer").select("c_custkey", "c_nationkey")
@@ -331,7 +332,7 @@ def compare_and_swap(spark, sf):
 
 @_register("""
 SELECT s_suppkey AS c_custkey, s_nationkey AS c_nationkey, CASE WHEN c_custkey IS NULL THEN 'inserted' WHEN c_nationkey = s_nationkey THEN 'existing' ELSE 'conflict' END AS outcome
-FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON c_custkey = s_suppkey
+FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey
 """)
 def insert_or_conflict(spark, sf):
     state = _t(spark, sf, "customer").select("c_custkey", "c_nationkey")
@@ -339,7 +340,7 @@ def insert_or_conflict(spark, sf):
     return ledger.insert_or_conflict(state, offered, "c_custkey", ["c_nationkey"])
 
 
-@_register("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 20) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 8)")
+@_register("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
 def removable_sources(spark, sf):
     pages = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"))
     collections = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
@@ -417,8 +418,9 @@ def overlap_window_batch(spark, sf):
 
 @_register("SELECT DISTINCT l_orderkey, l_partkey FROM lineitem")
 def idempotent_enqueue(spark, sf):
-    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    return sync.enqueue(rows.where("l_partkey % 2 = 0").distinct(), rows, ["l_orderkey", "l_partkey"])
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    queued = lines.where("l_returnflag = 'N'").select("l_orderkey", "l_partkey").distinct()
+    return sync.enqueue(queued, lines.drop("l_returnflag"), ["l_orderkey", "l_partkey"])
 
 
 @_register("""
@@ -448,7 +450,13 @@ def diff_turns(spark, sf):
 
 @_register()
 def wikitext_render(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", text.wikitext_to_text("text").alias("rendered"), text.headings(F.col("text")).alias("headings"))
+    return _t(spark, sf, "documents").select("doc_id", wikitext.wikitext_to_text("text").alias("rendered"), wikitext.wikitext_to_markdown("text").alias("markdown"))
+
+
+@_register()
+def wikitext_search_content(spark, sf):
+    shown = _t(spark, sf, "documents").select("doc_id", wikitext.search_content("text").alias("c"))
+    return shown.select("doc_id", "c.headings", "c.body")
 
 
 @_register()

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.functions import schedule, text
+from palimpsest.functions import schedule, text, wikitext
 from palimpsest.operators import diff, graph, history, ledger, search, sets
 from palimpsest.plans import catalog
 from palimpsest.sources import records
@@ -70,11 +70,127 @@ def test_word_refinement():
     assert [s["tag"] for s in lines[0]["spans"]] == ["equal", "delete", "equal"] and lines[1]["spans"][1] == {"tag": "insert", "text": "new"}
 
 
+WIKI = """<!-- not shown
+at all -->
+== Tea ==
+'''Tea''' is a [[hot drink]] &amp; a habit.
+It {{small|really}} is {{Odd box
+| a = [[b|c]]
+}}.
+
+=== Kinds ===
+* Green
+** [[Oolong (tea)|Oolong]]
+# Boil
+; Cup
+: Said ''softly''.<ref name="x">See [https://a.test/b the book].</ref><ref name="x"/>
+
+{| class="wikitable"
+|+ Harvest
+! Month !! Kind
+|-
+| align="left" | May || Green
+|-
+| June || [[Oolong (tea)|oolong]]
+|}
+
+ kept  as it is
+
+[[File:Cup.jpg|thumb|120px|A ''cup'']]
+[[Category:Drinks]]
+----
+More: [https://a.test Tea site], <code>a  b</code>, <nowiki>[[raw]]</nowiki>, {{frac|1|2|3}}, {{convert|5|km|mi|2}}, {{lang|fr|thé}}.<br>__NOTOC__
+"""
+PLAIN = """Tea
+
+Tea is a hot drink & a habit. It really is [Template: Odd box].
+
+Kinds
+
+- Green
+  - Oolong
+1. Boil
+- Cup
+Said softly. [ref: See the book (https://a.test/b).]
+
+Table: Harvest
+Month | Kind
+May | Green
+June | oolong
+
+    kept  as it is
+
+[Image: A cup]
+────────
+More: Tea site (https://a.test), a b, [[raw]], 1 2/3, 5 km mi, thé.
+"""
+MARKDOWN = """## Tea
+
+**Tea** is a [hot drink](hot_drink) & a habit. It really is `[Template: Odd box]`.
+
+### Kinds
+
+- Green
+  - [Oolong](Oolong_%28tea%29)
+1. Boil
+- **Cup**
+> Said *softly*. [ref: See [the book](https://a.test/b).]
+
+*Table: Harvest*
+| Month | Kind |
+| --- | --- |
+| May | Green |
+| June | [oolong](Oolong_%28tea%29) |
+
+    kept  as it is
+
+*Image: A *cup**
+---
+More: [Tea site](https://a.test), `a b`, \\[\\[raw\\]\\], 1 2/3, 5 km mi, thé.
+"""
+
+
 def test_wikitext():
-    source = "== Title ==\nA '''bold''' ''word'' with [[Page|a link]] &amp; {{note|x={{y}}}}text<ref>z</ref>.\nnext line\n\n* one\n** [[Two]]\n# first\n{| class=x\n| cell\n|}\n[https://x.test site] <!-- gone -->end &#65;&unknown;"
-    assert text.render_wikitext(source) == "Title\nA bold word with a link & text. next line\n- one\n  - Two\n1. first\nsite end A&unknown;"
-    assert text.render_wikitext(source, True).startswith("## Title\nA **bold** *word* with [a link](Page) & text. next line")
-    assert text.render_wikitext("{{open\n[[half") == "{{open [[half" and text.render_wikitext(None) is None and text.render_wikitext("") == ""
+    render = wikitext.render_wikitext
+    assert render(WIKI) == render(WIKI.replace("\n", "\r\n")) == PLAIN and render(WIKI, True) == MARKDOWN
+    assert render(None) is None and render("") == render(" \r\n\t") == render("<!-- only -->", True) == render("<!-- open") == ""
+    odd = "one [[two {{three|four <ref>five"
+    assert render(odd) == "one [[two {{three|four five\n" and render(odd, True) == "one \\[\\[two {{three|four five\n"
+    assert wikitext.search_headings("== [[A|B]] ==\nx\n=== C ===\n= D =\n==E=") == "B\nC\n"
+    assert render("one\r\ntwo\r\n\r\nthree") == "one two\n\nthree\n" and render("[[A|b {{small|c}} d]]") == "b c d\n"
+    assert "x" in render("{{small|" * 40 + "x" + "}}" * 40) and render("{{!}} {{=}} {{ }} &#65;&#x42;&zz; &nbsp;") == "| = [Template: unnamed] AB&zz;\n"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab[]{}|'<>/&;=*#:-_! \nhtp", max_size=80))
+def test_wikitext_never_fails(source):
+    for markdown in (False, True):
+        out = wikitext.render_wikitext(source, markdown)
+        assert out == "" or (out.endswith("\n") and not out.endswith("\n\n"))
+
+
+def test_traversal_bounds(spark):
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(20)] + [("n3", "n0")], "parent string, child string")
+    roots = spark.createDataFrame([("n0",)], "node string")
+    assert {tuple(r) for r in graph.category_bfs(chain, roots, 16).collect()} == {(f"n{k}", k) for k in range(17)}
+    with pytest.raises(graph.TraversalLimit):
+        graph.category_bfs(chain, roots, 16, max_nodes=5)
+
+
+def test_budget_cut_in_slices(spark):
+    rows = [(s, k, (k * 7) % 13) for s in "abc" for k in range(0, 400, 1 + "abc".index(s))]
+    frame = spark.createDataFrame(rows, "s string, k long, n long")
+    want = set()
+    for s in "abc":
+        total = 0
+        for x, k, n in rows:
+            if x == s:
+                total += n
+                if total <= 500:
+                    want.add((s, k, n, total))
+    for slices in (1, 7, 256):
+        assert {tuple(r) for r in history.budget_cut(frame, "s", "k", "n", 500, slices).select("s", "k", "n", "running").collect()} == want
+    assert history.budget_cut(frame.limit(0), "s", "k", "n", 5).count() == 0
 
 
 def test_text_functions(spark):
