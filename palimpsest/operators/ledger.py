@@ -112,3 +112,25 @@ def record_cursor(tables: list[tuple[DataFrame, str, str]], after: tuple[int, in
 def cutoff_of(revisions: DataFrame, ident: str, time: str, value: int) -> DataFrame:
     """The time of one revision as a cutoff: a row only if exactly one of the rows has that id."""
     return revisions.where(F.col(ident) == value).agg(F.count(F.lit(1)).alias("_n"), F.max(time).alias("cutoff")).where("_n = 1").select("cutoff")
+
+
+def rename(state: DataFrame, wanted: DataFrame, key: str, name: str, removed: Column) -> DataFrame:
+    """Each wanted (key, name) row with its outcome: missing, removed, taken (another key has the name) or renamed."""
+    there = state.select(key, removed.alias("_gone"))
+    holders = state.groupBy(name).agg(F.count(F.lit(1)).alias("_n"), F.max(key).alias("_holder"))
+    rows = wanted.join(there, key, "left").join(holders, name, "left")
+    taken = F.coalesce((F.col("_n") > 1) | (F.col("_holder") != F.col(key)), F.lit(False))
+    outcome = F.when(F.col("_gone").isNull(), "missing").when(F.col("_gone"), "removed").when(taken, "taken").otherwise("renamed")
+    return rows.select(*wanted.columns, outcome.alias("outcome"))
+
+
+def capture_outcome(known: Column, revision: Column, at: Column, head: Column, head_at: Column) -> Column:
+    """What a captured revision becomes: no page, new head, history behind the head, or a conflict in time."""
+    return F.when(known.isNull(), "no page").when(revision > head, "new head").when(at < head_at, "kept as history").otherwise("conflict")
+
+
+def settle(result: Column, attempts: Column, most: int) -> tuple[Column, Column]:
+    """(state, attempts) of a job after a result (done, retry, null: still running): a retry goes back to the queue until its attempts are used up."""
+    again = (result == "retry") & (attempts < most)
+    state = F.when(result == "done", "succeeded").when(again, "queued").when(result == "retry", "failed").otherwise("running")
+    return state, F.when(again, attempts + 1).otherwise(attempts)

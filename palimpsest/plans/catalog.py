@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import schedule, text, wikitext
 from palimpsest.operators import diff, graph, history, ledger, search, sets
+from palimpsest.plans import archive
 from palimpsest.streaming import sync
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,8 +233,7 @@ FROM f, g WHERE a > 0 AND b > 0 ORDER BY score, doc_id LIMIT 50
 
 @_register(_BM25)
 def bm25_search(spark, sf):
-    docs = _t(spark, sf, "documents").select("doc_id", "text", "source")
-    return search.bm25(docs, "doc_id", {"text": "body", "source": "title"}, "this license", 50)
+    return search.search(archive.stored_index(spark, sf), "this license", 50).withColumnRenamed("ident", "doc_id")
 
 
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -466,9 +466,9 @@ def object_base36(spark, sf):
 
 def queries() -> dict[str, Query]:
     """Every query, by name."""
-    return dict(_QUERIES)
+    return _QUERIES | archive.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL, by query name."""
-    return dict(_SQL)
+    return _SQL | archive.oracle_sql()
