@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import schedule, text, wikitext
 from palimpsest.operators import diff, graph, history, ledger, search, sets
-from palimpsest.plans import archive
+from palimpsest.plans import archive, store
 from palimpsest.streaming import sync
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -466,9 +466,9 @@ def object_base36(spark, sf):
 
 def queries() -> dict[str, Query]:
     """Every query, by name."""
-    return _QUERIES | archive.queries()
+    return _QUERIES | archive.queries() | store.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL, by query name."""
-    return _SQL | archive.oracle_sql()
+    return _SQL | archive.oracle_sql() | store.oracle_sql()
