@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def content_id(text: Column) -> Column:
@@ -111,22 +109,22 @@ def strict_timestamp(text: Column) -> Column:
 
 
 def base36_sha1(text: Column) -> Column:
-    """SHA-1 in base 36, padded to 31 digits."""
-
-    @F.pandas_udf("string")
-    def run(hexes: pd.Series) -> pd.Series:
-        def one(h: str | None) -> str | None:
-            if h is None:
-                return None
-            n, out = int(h, 16), ""
-            while n:
-                n, r = divmod(n, 36)
-                out = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + out
-            return out.rjust(31, "0")
-
-        return hexes.map(one)
-
-    return run(F.sha1(text))
+    """SHA-1 in base 36, padded to 31 digits: long division of five 32-bit limbs, in expressions alone."""
+    digest = F.sha1(text)
+    limbs = F.array(*[F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(5)])
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+    def divide(state: Column, _: Column) -> Column:
+        q, rest = [], F.lit(0).cast("long")
+        for k in range(5):
+            here = rest * (1 << 32) + F.get(state["n"], F.lit(k))
+            q.append(F.floor(here / 36).cast("long"))  # below 2 ** 38, so the quotient of doubles has the right floor
+            rest = F.pmod(here, F.lit(36))
+        return F.struct(F.array(*q).alias("n"), F.concat(F.substring(F.lit(digits), (rest + 1).cast("int"), F.lit(1)), state["s"]).alias("s"))
+
+    start = F.struct(limbs.alias("n"), F.lit("").alias("s"))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, divide, lambda state: state["s"])
+    return F.when(text.isNotNull(), out)
 
 
 def headings(source: Column) -> Column:

@@ -433,7 +433,25 @@ def next_cadence(spark, sf):
     return _t(spark, sf, "events").select("event_id", *nominal)
 
 
-@_register()
+def _mix_sql(v: str) -> str:
+    """splitmix64 of an unsigned value; products modulo 2 ** 64 by way of 128 bits."""
+    wrap = "CAST(({0}) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+    v = wrap.format(f"CAST({v} AS UHUGEINT) + {schedule.STEP}")
+    for right, times in ((30, schedule.FIRST), (27, schedule.SECOND)):
+        v = f"list_transform([{v}], lambda v: " + wrap.format(f"CAST(xor(v, v >> {right}) AS UHUGEINT) * {times}") + ")[1]"
+    return f"list_transform([{v}], lambda v: xor(v, v >> 31))[1]"
+
+
+def _jitter_sql(ident: str, nominal: str, most: int) -> str:
+    """Jitter of a nominal time below 2 ** 35."""
+    mixed = f"xor(xor({schedule.JITTER_DOMAIN}::UBIGINT, {_mix_sql(f'CAST({ident} AS UBIGINT)')}), {_mix_sql(f'CAST({nominal} AS UBIGINT) * 536870912')})"
+    return f"CAST({_mix_sql(mixed)} % {most + 1} AS BIGINT)"
+
+
+@_register(f"""
+SELECT o_orderkey, CASE WHEN t <= 852076800 THEN t END AS due_at, CASE WHEN t > 852076800 THEN t WHEN j > 0 THEN 852076800 + j ELSE 852163200 + k END AS next_run_at
+FROM (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS t, {_jitter_sql("o_custkey", "852076800", 600)} AS j, {_jitter_sql("o_custkey", "852163200", 600)} AS k FROM orders)
+""")
 def schedule_recovery(spark, sf):
     at, now = F.unix_timestamp("o_orderdate"), F.lit(852_076_800)
     due, following = schedule.recover(schedule.Cadence.interval(86_400), F.col("o_custkey"), 600, at, now)
@@ -459,7 +477,19 @@ def wikitext_search_content(spark, sf):
     return shown.select("doc_id", "c.headings", "c.body")
 
 
-@_register()
+def _digits_sql(value: str, count: int) -> str:
+    """The ``count`` lowest digits of an unsigned value in base 36."""
+    powers = ", ".join(f"'{36**k}'::UHUGEINT" for k in reversed(range(count)))
+    return f"array_to_string(list_transform([{powers}], lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST({value} // p % 36 AS INTEGER) + 1, 1)), '')"
+
+
+# 160 bits as four limbs of 40, divided by 36 ** 15 so that quotient and remainder fit into 128 bits
+@_register(f"""
+WITH l AS (SELECT doc_id, list_transform(range(4), lambda i: CAST(CAST('0x' || substr(sha1(text), CAST(10 * i + 1 AS INTEGER), 10) AS UBIGINT) AS UHUGEINT)) AS n, '{1 << 40}'::UHUGEINT AS b, '{36**15}'::UHUGEINT AS m FROM documents),
+d AS (SELECT *, n[1] * b + n[2] AS c2 FROM l), e AS (SELECT *, c2 % m * b + n[3] AS c3 FROM d), f AS (SELECT *, c3 % m * b + n[4] AS c4 FROM e),
+g AS (SELECT doc_id, (c2 // m) * b * b + (c3 // m) * b + c4 // m AS high, c4 % m AS low FROM f)
+SELECT doc_id, {_digits_sql("high", 16)} || {_digits_sql("low", 15)} AS sha1_base36, {_jitter_sql("doc_id", "1", 600)} AS jitter FROM g
+""")
 def object_base36(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.base36_sha1(F.col("text")).alias("sha1_base36"), schedule.jitter(F.col("doc_id"), F.lit(1), 600).alias("jitter"))
 

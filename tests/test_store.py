@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text
 from palimpsest.operators import collections, exports, objects
 from palimpsest.plans import store
 from palimpsest.streaming import reconcile
@@ -93,14 +94,14 @@ def test_export(spark, tmp_path):
     article = ("en", 1, "https://e.org/api.php?x", "T [1] \"q\"", 5, "2024-01-01T00:00:00Z", 9, 99, None, "s256:0", "articles/5-t.md", "body")
     frame = spark.createDataFrame([article], "wiki string, wiki_id int, endpoint string, title string, page_id long, revision_time string, revision_id long, captured_at long, author string, content_hash string, relative_path string, body string")
     frame = frame.withColumn("record", exports.metadata("markdown", "m/1"))
-    line, md, text = rows(frame, exports.index_line(F.col("record")), exports.markdown_file(F.col("record"), F.col("body")), exports.text_file(F.col("record"), F.col("body")))[0]
+    line, md, plain = rows(frame, exports.index_line(F.col("record")), exports.markdown_file(F.col("record"), F.col("body")), exports.text_file(F.col("record"), F.col("body")))[0]
     record = json.loads(line)
     assert list(record) == sorted(record) and len(record) == 15 and record["author"] is None and record["source_url"] == "https://e.org/index.php?title=T%20%5B1%5D%20%22q%22&oldid=9"
     head, _, rest = md[4:].partition("---\n\n")
     front = dict(x.split(": ", 1) for x in head.splitlines())
     assert tuple(front) == exports.FRONT and json.loads(front["title"]) == article[3] and front["page_id"] == "5"
     assert rest.startswith("body\n\n## Source and attribution\n\nSource: [T \\[1\\] ") and "Revision author: not available.\n\n" in rest
-    assert text.startswith('Title: T [1] "q"\nWiki: en (local ID 1)\nPage ID: 5\n') and "\n\nbody\n\nSOURCE AND ATTRIBUTION\n" in text and text.endswith(exports.NOTICE)
+    assert plain.startswith('Title: T [1] "q"\nWiki: en (local ID 1)\nPage ID: 5\n') and "\n\nbody\n\nSOURCE AND ATTRIBUTION\n" in plain and plain.endswith(exports.NOTICE)
     made = exports.summary(spark.createDataFrame([(1, 5, 9), (None, 7, None)], "r long, n long, c long"), "r", "n", "c")
     assert tuple(made.first()) == (1, 1, 5, 9, None)
     out = str(tmp_path / "export")
@@ -172,3 +173,13 @@ def test_forward_gaps(spark):
 def test_rendered_files_hold_the_rendered_body(spark, sf):
     first = store.queries()["export_rendered_files"](spark, sf).first()
     assert first["content"].startswith("---\nwiki: ") and "## Source and attribution" in first["content"] and first["relative_path"].startswith("articles/")
+
+
+def test_base36(spark):
+    texts = [f"t{k}" for k in range(2000)] + ["", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, got in rows(frame, "t", text.base36_sha1(F.col("t"))):
+        if t is None:
+            assert got is None
+        else:
+            assert len(got) == 31 and int(got, 36) == int(hashlib.sha1(t.encode()).hexdigest(), 16)
